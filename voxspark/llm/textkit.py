@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 1 << 15
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -106,7 +107,7 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
-        to = min(to, n)
+        to = min(to, n, at + SLICE_ROWS)
         yield Texts(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], at)
         at = to
 
@@ -154,10 +155,21 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def numbered(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, value, count) of a multiset, each pair once, ordered by row and value."""
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    """(row, element, count) of each row's multiset, ordered by row; an element is a value's upper 48 bits.
+
+    Rows of a slice fit 16 bits, so one sort of plain integers does it.
+    """
+    key = np.sort((row.astype(np.uint64) << _U(48)) | (value >> _U(16)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    return row[at], value[at], np.diff(np.append(at, len(row)))
+    key = key[at]
+    return (key >> _U(48)).astype(np.int64), key & _U((1 << 48) - 1), np.diff(np.append(at, len(new)))
+
+
+def occurrences(row: np.ndarray, element: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A multiset as a set: its n-th copy of an element is an id of its own. (row, id), ordered by row."""
+    first = np.cumsum(count) - count
+    nth = np.arange(int(count.sum())) - np.repeat(first, count)
+    with np.errstate(over="ignore"):
+        return np.repeat(row, count), mix(np.repeat(element, count) + nth.astype(np.uint64) * _U(0xA0761D6478BD642F))
