@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxspark.llm import bagminhash, line_dedup, quality, sharding
-from voxspark.llm.shared import documents
+from voxspark.llm import bagminhash, decontaminate, line_dedup, packing, quality, sharding
+from voxspark.llm.shared import benchmark, documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_windows": lambda spark, d: decontaminate.contaminated(documents(spark, d), benchmark(spark, d)),
         "op2_compression_bands": lambda spark, d: quality.quality_digest(documents(spark, d)),
+        "op3_bm25_packing": lambda spark, d: packing.pack_documents(documents(spark, d)),
         "op6_bagminhash": lambda spark, d: bagminhash.near_duplicates(documents(spark, d)),
         "op7_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(documents(spark, d)),
         "op10_hypergeometric_sharding": lambda spark, d: sharding.sharding_digest(documents(spark, d)),

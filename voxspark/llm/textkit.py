@@ -112,9 +112,10 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
-def words(texts: Texts, lower: bool = True) -> Words:
+def words(texts: Texts, lower: bool = True, gap: np.ndarray = SPACE) -> Words:
+    """The runs of bytes that ``gap`` doesn't mark."""
     data = LOWER[texts.data] if lower else texts.data
-    solid = ~SPACE[data]
+    solid = ~gap[data]
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[texts.bounds] = True
