@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxspark.llm import bagminhash, decontaminate, line_dedup, packing, quality, sharding
+from voxspark.llm import bagminhash, bucket_refinement, decontaminate, line_dedup, packing, quality, sharding
 from voxspark.llm.shared import benchmark, documents
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bm25_packing": lambda spark, d: packing.pack_documents(documents(spark, d)),
         "op6_bagminhash": lambda spark, d: bagminhash.near_duplicates(documents(spark, d)),
         "op7_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(documents(spark, d)),
+        "op9_bucket_refinement": lambda spark, d: bucket_refinement.remove_repeats_digest(documents(spark, d)),
         "op10_hypergeometric_sharding": lambda spark, d: sharding.sharding_digest(documents(spark, d)),
     }
 
