@@ -117,8 +117,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     its own class. Texts with equal shingles are copies and always of one class. Null ids aren't returned.
 
     Copies are collapsed first, so a group of copies costs a row a copy. The texts that share a band with another
-    give (text, leader) pairs for two random leaders of each band: as many pairs as texts, whatever the group's
-    size. Verified pairs are contracted to components; then each text that shares a band with a text of another
+    give (text, leader) pairs for two leaders of each band: as many pairs as texts, whatever the group's size. Verified pairs are contracted to components; then each text that shares a band with a text of another
     component is compared with it, unless the part of its shingles that any other text has rules the
     similarity out. So no link between texts that share a band is lost, and a large group of near copies
     makes no quadratic number of pairs. A link at 0.8 exactly shares one of 20 bands of 4 registers with
@@ -129,9 +128,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.filter(F.col("size") > 0)
     reps = written(full.groupBy("whole", "size").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands")), "bmh-reps")
     banded = reps.select("doc", "size", F.explode("bands").alias("band"))
-    first, second = (F.min(F.struct(F.xxhash64(F.lit(s), "band", "doc").alias("h"), F.col("doc").alias("d"))) for s in (1, 2))
-    buckets = written(banded.groupBy("band").agg(F.count("*").alias("n"), first.alias("l1"), second.alias("l2")).filter("n > 1").select("band", F.col("l1.d").alias("l1"), F.col("l2.d").alias("l2")), "bmh-buckets")
-    members = written(banded.join(buckets, "band").select("band", "doc", "size", "l1", "l2"), "bmh-members")
+    buckets = written(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "bmh-buckets")
+    members = written(banded.join(buckets, "band").select("band", "doc"), "bmh-members")
     candidates = members.select("doc").distinct()
     sets = written(docs.join(candidates.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").mapInArrow(_elements, "doc long, ids array<long>").dropDuplicates(["doc"]), "bmh-sets")
     alone = sets.select("doc", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1").groupBy("doc").agg(F.count("*").alias("alone"))
@@ -140,12 +138,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets.join(alone, "doc", "left").select("doc", size.alias("n"), (size - F.coalesce("alone", F.lit(0))).alias("s")).filter(F.col("s") >= LEAST * F.col("n")),
         "bmh-live",
     )
-    spoke = members.select("doc", F.explode(F.array("l1", "l2")).alias("leader")).filter("doc <> leader")
+    lively = written(members.join(live, "doc"), "bmh-lively")
+    # One leader has the most that others share, as the source of a group of near copies does; the other is drawn.
+    common = F.max(F.struct((F.col("s") / F.col("n")).alias("r"), F.col("doc").alias("d"))).alias("l1")
+    drawn = F.min(F.struct(F.xxhash64("band", "doc").alias("h"), F.col("doc").alias("d"))).alias("l2")
+    leaders = written(lively.groupBy("band").agg(common, drawn, F.count("*").alias("m")).filter("m > 1").select("band", F.col("l1.d").alias("l1"), F.col("l2.d").alias("l2")), "bmh-leaders")
+    spoke = lively.join(leaders, "band").select("doc", F.explode(F.array("l1", "l2")).alias("leader")).filter("doc <> leader")
     pairs = spoke.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
     edges = written(_verified(_allowed(pairs, live), sets), "bmh-edges")
     parts = components(edges)
     placed = written(
-        members.select("band", "doc").join(live, "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("part", "doc")),
+        lively.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("part", "doc")),
         "bmh-placed",
     )
     counted = placed.groupBy("band", "part").agg(F.count("*").alias("n"))
