@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.llm import textkit
-from voxspark.llm.shared import blocks_for, shared_dir, written
+from voxspark.llm.shared import blocks_for, in_blocks, written
 
 DEPTH = 50
 Q = 20
@@ -194,15 +193,11 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     documents hold is one key or context a block. Buckets grow in number, not in size. Equality is that of
     64-bit identifiers.
     """
-    spark = docs.sparkSession
     n = blocks_for(docs, BLOCK_BYTES)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    name = f"suffix_blocks_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    dealt.repartition(n, "block").write.bucketBy(n, "block").option("path", path).saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = in_blocks(dealt, n, "suffix_blocks")
 
     def first(table: pa.Table) -> pa.Table:
         block = Block(table)

@@ -37,6 +37,15 @@ def blocks_for(docs: DataFrame, block_bytes: int) -> int:
     return max(1, -(-text_bytes(docs) // block_bytes))
 
 
+def in_blocks(docs: DataFrame, n: int, name: str) -> DataFrame:
+    """``docs`` with its column ``block`` (0 to n - 1), written bucketed by it: grouping by block shuffles no more."""
+    spark = docs.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    docs.repartition(n, "block").write.bucketBy(n, "block").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
