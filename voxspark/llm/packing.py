@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from voxspark.llm.shared import blocks_for
 WINDOW = 1024
 SHARD_BYTES = 2 << 20
 K1, B = 1.2, 0.75
-MOST_CACHED = 600_000
+MOST_CACHED = 1_200_000
 
 _U = np.uint64
 SCHEMA = (
@@ -44,96 +46,109 @@ class Ids:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         self.chars = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(other)})
+        self.blank = " ".translate(self.chars)
         self.clear()
 
     def clear(self) -> None:
         self.codes: dict[int, int] = {}
-        self.words: dict[str, list[int]] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _word(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1")
+        return [t.id for t in self.model.tokenize(word.translate(self.chars))]
+
     def _encode(self, piece: str) -> list[int]:
-        if max(map(ord, piece)) >= 0x250:
+        if piece.isascii():
+            if piece[0] == " " and piece[1:].isalpha():
+                return [t.id for t in self.model.tokenize(self.blank + piece[1:])]
+        elif max(piece) >= "\u0250":
             return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        out: list[int] = []
-        for word in self.split.findall(piece):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.chars))]
-                self.words[word] = ids
-            out += ids
-        return out
-
-    def _add(self, key: int, ids: list[int]) -> int:
-        code, n = len(self.codes), len(ids)
-        while self.used + n > len(self.flat):
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isalpha():
+            return self._word(piece)
+        if body[-1] in ".,;:!?" and body[:-1].isalpha():
+            return self._encode(piece[:-1]) + self._word(piece[-1])
+        return [i for word in self.split.findall(piece) for i in self._word(word)]
+
+    def _add(self, keys: list[int], pieces: Iterator[str]) -> None:
+        got, ends = [], []
+        for piece in pieces:
+            got += self._encode(piece)
+            ends.append(len(got))
+        upto = np.array(ends)
+        first, last = len(self.codes), len(self.codes) + len(keys)
+        while self.used + len(got) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if code == len(self.start):
+        while last > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + n] = ids
-        self.start[code], self.length[code] = self.used, n
-        self.used += n
-        self.codes[key] = code
-        return code
-
-    def of(self, t: textkit.Texts) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and each text's first place in them."""
-        if len(self.codes) > MOST_CACHED or len(self.words) > MOST_CACHED:
+        self.flat[self.used : self.used + len(got)] = got
+        self.length[first:last] = np.diff(upto, prepend=0)
+        self.start[first:last] = self.used + upto - self.length[first:last]
+        self.used += len(got)
+        self.codes.update(zip(keys, range(first, last), strict=True))
+
+    def of(self, t: textkit.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in order, each text's first place in them; the row and the hash of each piece without its blank."""
+        if len(self.codes) > MOST_CACHED:
             self.clear()
         raw = t.data.tobytes()
-        if any(s in raw for s in self.special):
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True)]
-            got = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
-            return np.fromiter((i for g in got for i in g), np.uint32), np.concatenate([[0], np.cumsum([len(g) for g in got])])
         start, row = _cuts(t)
         if not len(start):
-            return np.zeros(0, np.uint32), np.zeros(t.rows + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(t.rows + 1, np.int64), row, np.zeros(0, np.uint64)
         end = np.minimum(np.append(start[1:], len(t.data)), t.bounds[row + 1])
-        value, first, where = np.unique(textkit.span_hash(textkit.prefix_hash(t.data), start, end), return_index=True, return_inverse=True)
-        codes = np.empty(len(value), np.int64)
-        for i, v in enumerate(value.tolist()):
-            code = self.codes.get(v)
-            if code is None:
-                at = first[i]
-                code = self._add(v, self._encode(raw[start[at] : end[at]].decode("utf-8", "replace")))
-            codes[i] = code
-        code = codes[where]
+        blank = t.data[start] == 32
+        term = textkit.span_hash(textkit.prefix_hash(t.data), start + blank, end)
+        if any(s in raw for s in self.special):
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True)]
+            got = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+            return np.fromiter(chain.from_iterable(got), np.uint32), np.concatenate([[0], np.cumsum([len(g) for g in got])]), row, term
+        value, first, where = np.unique(term ^ blank, return_index=True, return_inverse=True)
+        keys, known = value.tolist(), self.codes
+        new = [i for i, v in enumerate(keys) if v not in known]
+        if new:
+            at = first[new]
+            spans = zip(start[at].tolist(), end[at].tolist(), strict=True)
+            self._add([keys[i] for i in new], (raw[x:y].decode("utf-8", "replace") for x, y in spans))
+        code = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[where]
         size = self.length[code]
         upto = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[code] - (upto - size), size) + np.arange(upto[-1])]
-        return ids, np.concatenate([[0], np.cumsum(np.bincount(row, weights=size, minlength=t.rows).astype(np.int64))])
+        return ids, np.concatenate([[0], np.cumsum(np.bincount(row, weights=size, minlength=t.rows).astype(np.int64))]), row, term
 
 
 #: Bytes that a character other than a blank may not start or end with, as far as one byte can tell.
 _BLANK = textkit.SPACE.copy()
 _BLANK[[0x1C, 0x1D, 0x1E, 0x1F]] = True
-_WIDE = np.zeros(256, bool)
-_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_AFTER = ~_BLANK
+_AFTER[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
 def _cuts(t: textkit.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Where pieces start, and their rows. Next to characters that may be Unicode blanks there is no cut."""
     d, n = t.data, len(t.data)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = t.bounds[:-1][t.bounds[:-1] < n]
+    at = np.flatnonzero(d[1:-1] == 32) + 1
+    b, c = d[at - 1], d[at - 2]
+    blank = _BLANK[b] | ((c == 0xC2) & ((b == 0x85) | (b == 0xA0)))
+    wide = d[at - 3]
+    blank |= (b >= 0x80) & (c >= 0x80) & ((wide == 0xE1) | (wide == 0xE2) | (wide == 0xE3))
     cut = np.zeros(n, bool)
-    solid = ~_BLANK[d]
-    after = solid & ~_WIDE[d]
-    before = solid.copy()
-    before[1:] &= ~((d[:-1] == 0xC2) & ((d[1:] == 0x85) | (d[1:] == 0xA0)))
-    before[2:] &= ~(((d[:-2] == 0xE1) | (d[:-2] == 0xE2) | (d[:-2] == 0xE3)) & (d[2:] >= 0x80) & (d[1:-1] >= 0x80))
-    cut[1:-1] = (d[1:-1] == 32) & before[:-2] & after[2:]
-    cut[t.bounds[:-1][t.bounds[:-1] < n]] = True
+    cut[at[~blank & _AFTER[d[at + 1]]]] = True
+    cut[first] = True
     start = np.flatnonzero(cut)
     return start, np.searchsorted(t.bounds, start, "right") - 1
 
 
 class Index:
-    """A BM25 inverted index of one shard's documents. Words found in one document, or in most, weigh nothing."""
+    """A BM25 inverted index of one shard's documents; a term is what stands between blanks. Terms found in one document, or in most, weigh nothing."""
 
     def __init__(self, row: np.ndarray, value: np.ndarray, n: int):
         _, term = np.unique(value, return_inverse=True)
-        pair, count = np.unique(term.astype(np.int64) * n + row, return_counts=True)
+        pair = np.sort(term * n + row)
+        at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else pair
+        count, pair = np.diff(np.append(at, len(pair))), pair[at]
         term, doc = pair // n, pair % n
         df = np.bincount(term)
         idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0)
@@ -150,7 +165,7 @@ class Index:
         self.of = np.searchsorted(doc[order], np.arange(n + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents that share a weighing word with the seed, best first; ties by place."""
+        """Unused documents that share a weighing term with the seed, best first; ties by place."""
         own = slice(self.of[seed], self.of[seed + 1])
         start, size = self.first[self.terms[own]], self.first[self.terms[own] + 1] - self.first[self.terms[own]]
         at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -214,16 +229,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         encoder, n, shard = _ids(tokenizer_path), table.num_rows, table.column("shard")[0].as_py()
-        ids, bounds, row, value = [], [np.zeros(1, np.int64)], [], []
-        for t in textkit.slices(table.column("text")):
-            got, upto = encoder.of(t)
-            w = textkit.words(t)
-            ids.append(np.insert(got, upto[1:], 0))
-            bounds.append(bounds[-1][-1] + upto[1:] + np.arange(1, t.rows + 1))
-            row.append(w.row + t.first)
-            value.append(w.hash)
-        flat, first = np.concatenate(ids).astype("<u4"), np.concatenate(bounds)
-        pieces = np.array(fill(np.diff(first), Index(np.concatenate(row), np.concatenate(value), n), window))
+        (t,) = textkit.slices(table.column("text"), 1 << 62, 1 << 62)
+        ids, upto, row, term = encoder.of(t)
+        flat, first = np.insert(ids, upto[1:], 0).astype("<u4"), upto + np.arange(n + 1)
+        pieces = np.array(fill(np.diff(first), Index(row, term, n), window))
         doc, start, length, sequence, offset, seed = pieces.T
         at = first[doc] + start
         raw = memoryview(flat.tobytes())

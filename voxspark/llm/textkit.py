@@ -95,7 +95,7 @@ def as_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[Texts]:
+def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Texts]:
     """Rows in order, in slices of about ``most`` bytes; a longer text is a slice by itself."""
     array = as_array(column)
     n = len(array)
@@ -107,7 +107,7 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
-        to = min(to, n, at + SLICE_ROWS)
+        to = min(to, n, at + rows)
         yield Texts(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], at)
         at = to
 
