@@ -11,6 +11,10 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def key_of(line):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(BLANKS))
+
+
 def shingles(text):
     w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in words(text)]
     k = min(5, len(w))
@@ -69,7 +73,7 @@ def test_components(spark):
 
 
 def test_line_dedup(docs, texts):
-    key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(BLANKS))
+    key = key_of
     held = {}
     for i, t in texts:
         for x in (t or "").split("\n"):

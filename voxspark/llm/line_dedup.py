@@ -60,6 +60,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     return out.select(*[new.pop(c) .alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], *[v.alias(k) for k, v in new.items()])
 
 
+def chars(deduped: DataFrame) -> Column:
+    """``n_chars`` of what ``dedup_lines`` returns: counted anew where lines were dropped."""
+    return F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+
+
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
