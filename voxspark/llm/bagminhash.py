@@ -101,6 +101,18 @@ def _can_link(na: Column, sa: Column, nb: Column, sb: Column) -> Column:
     return both >= LEAST * (na + nb - both)
 
 
+def _masks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, doc, mask): which of 64 shingles of the pivot the text has.
+
+    What a text has of the pivot and a partner lacks is missing from what they share, besides what no other text
+    has: in a group of near copies of one source this rules nearly all pairs out before they are made.
+    """
+    some = sets.select(F.col("doc").alias("pivot"), F.slice("ids", 1, 64).alias("some"))
+    both = pairs.join(sets, "doc").join(some, "pivot")
+    bits = F.transform("some", lambda x, i: F.when(F.array_contains("ids", x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return both.select("pivot", "doc", F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("mask"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose multisets overlap enough."""
     left, right = (sets.select(F.col("doc").alias(c), F.col("ids").alias(f"{c}_ids")) for c in ("a", "b"))
@@ -117,11 +129,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     its own class. Texts with equal shingles are copies and always of one class. Null ids aren't returned.
 
     Copies are collapsed first, so a group of copies costs a row a copy. The texts that share a band with another
-    give (text, leader) pairs for two leaders of each band: as many pairs as texts, whatever the group's size. Verified pairs are contracted to components; then each text that shares a band with a text of another
-    component is compared with it, unless the part of its shingles that any other text has rules the
-    similarity out. So no link between texts that share a band is lost, and a large group of near copies
-    makes no quadratic number of pairs. A link at 0.8 exactly shares one of 20 bands of 4 registers with
-    probability 1 - 3e-5. Nothing is collected; every join is on hashed keys that adaptive execution can split.
+    give (text, leader) pairs for two leaders of each band: as many pairs as texts, whatever the group's size.
+    Verified pairs are contracted to components; then each text that shares a band with a text of another
+    component is compared with it, unless bounds rule the similarity out: the part of its shingles that no other
+    text has, and 64 shingles of a common pivot. So no link between texts that share a band is lost, and a large
+    group of near copies makes no quadratic number of pairs. A link at 0.8 exactly shares one of 20 bands of 4
+    registers with probability 1 - 3e-5. Nothing is collected; every join is on hashed keys that adaptive
+    execution can split.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
     signed = written(docs.mapInArrow(_sign, "doc_id long, whole long, size long, bands array<long>"), "bmh-signed")
@@ -151,20 +165,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         lively.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("part", "doc")),
         "bmh-placed",
     )
-    counted = placed.groupBy("band", "part").agg(F.count("*").alias("n"))
-    main = written(counted.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top")).filter("parts > 1").select("band", F.col("top.part").alias("main")), "bmh-main")
-    split = placed.join(main, "band")
-    a = split.filter(F.col("part") != F.col("main")).select("band", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "s", "part")])
-    b = split.select("band", "main", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "s", "part")])
-    a, b = written(a, "bmh-strays"), written(b, "bmh-others")
+    best = F.max(F.struct((F.col("s") / F.col("n")).alias("r"), F.col("doc").alias("d"))).alias("best")
+    counted = placed.groupBy("band", "part").agg(F.count("*").alias("m"), best)
+    top = F.max(F.struct("m", "part", "best")).alias("top")
+    main = written(counted.groupBy("band").agg(F.count("*").alias("parts"), top).filter("parts > 1").select("band", F.col("top.part").alias("main"), F.col("top.best.d").alias("pivot")), "bmh-main")
+    split = written(placed.join(main, "band"), "bmh-split")
+    split = split.join(_masks(split.select("pivot", "doc").distinct(), sets), ["pivot", "doc"])
+    split = written(split.join(reps.select("doc", "bands"), "doc"), "bmh-masked")
+    sides = ("doc", "n", "s", "part", "mask", "bands")
+    left = split.filter(F.col("part") != F.col("main")).select("band", *[F.col(c).alias(f"{c}_a") for c in sides])
+    right = split.select("band", "main", "pivot", *[F.col(c).alias(f"{c}_b") for c in sides])
+    left, right = written(left, "bmh-strays"), written(right, "bmh-others")
+    need = (F.col("n_a") + F.col("n_b")) * (LEAST / (1 + LEAST)) - 1e-6
+    missed = [F.col(f"n_{x}") - F.col(f"s_{x}") + F.bit_count(F.col(f"mask_{x}").bitwiseAND(F.bitwise_not(F.col(f"mask_{y}")))) <= F.col(f"n_{x}") - need for x, y in ("ab", "ba")]
     cross = (
-        a.join(b, "band")
+        left.join(right, "band")
         .filter((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("doc_a") < F.col("doc_b"))))
         .filter(_can_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b")))
+        .filter((F.col("doc_a") == F.col("pivot")) | (F.col("doc_b") == F.col("pivot")) | (missed[0] & missed[1]))
+        # a pair is made in the first band that it shares
+        .filter(F.element_at("bands_a", F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True)).cast("int")) == F.col("band"))
         .select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
         .distinct()
     )
-    parts = components(edges.unionByName(_verified(cross, sets)))
+    parts = components(edges.unionByName(written(_verified(cross, sets), "bmh-cross")))
     named = reps.select("whole", "size", "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("whole", "size", F.coalesce("part", "doc").alias("class_id"))
     return written(
         full.select("doc_id", "whole", "size").join(named, ["whole", "size"]).select("doc_id", "class_id").unionByName(signed.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"))),
