@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxspark.codec import atoms as codec
+from voxspark.codec import masked
 from voxspark.functions import addressing as A
 from voxspark.model import Box, Dims
 from voxspark.operators import analytics, coverage, metrics, occupancy, pyramid, repack, transform
-from voxspark.plans import fixtures
+from voxspark.plans import export, fixtures
 from voxspark.plans.fixtures import sql
+from voxspark.streaming import appends
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -451,3 +454,58 @@ def sampled_verify(spark, d):
 def io_read_once(spark, d):
     r = fixtures.dense(spark, d).select(*occupancy.keys(64, ("cz", "cy", "cx")), A.div("z", 4).alias("band"))
     return r.groupBy("cz", "cy", "cx", "band").agg(F.count("*").alias("n")).agg(F.sum("n").alias("reads"), F.count("*").alias("once"))
+
+
+# coding
+
+
+@query(sql("SELECT z // 32 az, y // 32 ay, x // 32 ax, 2 cover, cast((sum(v) + 16384) // 32768 AS int) dc FROM vs WHERE v <> 0 GROUP BY ALL", "vs"))
+def encode_atoms(spark, d):
+    return codec.encode(codec.pack(fixtures.sparse(spark, d)), 2.0).select("az", "ay", "ax", "cover", "dc")
+
+
+def _coded_pairs(spark, d, q: float) -> DataFrame:
+    v = fixtures.dense(spark, d)
+    box = Box(3, 5, 1, 60, 50, 8)
+    coded = codec.encode(codec.pack(v), q)
+    return metrics.paired(coverage.crop(v, box), codec.decode_box(coded, box))
+
+
+@query(sql("SELECT count(*) n, true exact_size, true good FROM vd WHERE z >= 1 AND z < 8 AND y >= 5 AND y < 50 AND x >= 3 AND x < 60", "vd"))
+def decode_region_coded(spark, d):
+    out = metrics.basket(_coded_pairs(spark, d, 0.5))
+    return out.select("n", (F.col("n") == 7 * 45 * 57).alias("exact_size"), (F.col("psnr") > 27).alias("good"))
+
+
+@query()
+def rd_sweep_best(spark, d):
+    atoms = codec.pack(fixtures.dense(spark, d))
+    points = codec.rates(atoms, [0.5, 1.0, 2.0, 4.0, 8.0])
+    points = points.select("q", (F.col("n") / F.col("bytes")).alias("ratio"), metrics.psnr(F.col("sse") / F.col("n")).alias("psnr"))
+    return analytics.best_point(points, 36.0)
+
+
+@query(sql("SELECT block, count(*) FILTER (WHERE v = 0) air, 0 leaks, 0 losses FROM vb GROUP BY ALL", "vb"))
+def masked_block_codec(spark, d):
+    v = fixtures.blocks(spark, d).withColumn("x", F.col("block") * 16 + F.col("x")).select("z", "y", "x", "v")
+    rebuilt = codec.unpack(masked.decode(masked.encode(codec.pack(v, 16), 4.0)), 16)
+    pairs = metrics.paired(v, rebuilt)
+    leaks, losses = F.count_if((F.col("a") == 0) & (F.col("b") != 0)), F.count_if((F.col("a") != 0) & (F.col("b") == 0))
+    return pairs.groupBy(A.div("x", 16).alias("block")).agg(F.count_if(F.col("a") == 0).alias("air"), leaks.cast("int").alias("leaks"), losses.cast("int").alias("losses"))
+
+
+def _export_sql() -> str:
+    parts = [f"l{k} AS (SELECT {_HALF}, {_NZ} v FROM {'vs' if k == 1 else f'l{k - 1}'} GROUP BY ALL)" for k in range(1, 4)]
+    rows = " UNION ALL ".join(f"SELECT {k} lod, count(*) atoms, cast(sum(dc) AS bigint) dc FROM (SELECT cast((sum(v) + 16384) // 32768 AS int) dc FROM {'vs' if k == 0 else f'l{k}'} WHERE v <> 0 GROUP BY z // 32, y // 32, x // 32)" for k in range(4))
+    return "+ " + ", ".join(parts) + " " + rows
+
+
+@query(sql(_export_sql(), "vs"))
+def export_pipeline(spark, d):
+    coded = export.coded_levels(fixtures.sparse(spark, d), [2.0, 2.0, 2.0, 2.0])
+    return coded.groupBy("lod").agg(F.count("*").alias("atoms"), F.sum("dc").cast("long").alias("dc"))
+
+
+@query(sql(_EV + "SELECT az, ay, ax, cover, coalesce(payload_id, -1) payload_id FROM a", "ev"))
+def event_append_stream(spark, d):
+    return appends.event_stream(spark, d, fixtures.log_of).withColumn("payload_id", F.coalesce("payload_id", F.lit(-1)))

@@ -37,8 +37,11 @@ def reconstruction(voxels: DataFrame) -> DataFrame:
 
 
 def append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ingest_id, ts, az, ay, ax, kind): atoms and marks in the order they were written."""
-    e = _table(spark, sf_dir, "events")
+    return log_of(_table(spark, sf_dir, "events"))
+
+
+def log_of(e: DataFrame) -> DataFrame:
+    """(ingest_id, ts, az, ay, ax, kind) of events, a stream or not: atoms and marks in the order they were written."""
     kind = F.expr("CASE WHEN event_type = 'error' THEN 'zero_atom' WHEN event_type = 'signup' THEN CASE WHEN event_id % 500 = 0 THEN 'zero_region' ELSE 'none' END ELSE 'atom' END")
     return e.select(F.col("event_id").alias("ingest_id"), "ts", F.expr("cast(((event_id * 7) % 16) * 4 AS int)").alias("az"), F.expr("cast(user_id % 32 AS int)").alias("ay"), F.expr("cast((cast(floor(value) AS bigint) % 16) * 8 AS int)").alias("ax"), kind.alias("kind"))
 
