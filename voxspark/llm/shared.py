@@ -1,29 +1,13 @@
-"""Tables that a job cuts its lineage with, in the folder the cluster shares."""
+"""Blocks of documents, and the tables that the queries read."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="voxspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lost executors cost no more than a read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from voxspark.storage import shared_dir, written
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -52,3 +36,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+__all__ = ["benchmark", "blocks_for", "documents", "in_blocks", "text_bytes", "written"]
