@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 from voxspark.llm import textkit
 
 #: Fixed values. Limits of compressed size / size by length in bytes: (from, least, most). Below the least a text
-#: is repetitive, above the most it can't be compressed as prose can. zstandard's frame weighs on short texts.
+#: is repetitive, above the most it can't be compressed as prose can. The longer a text, the more of it has been seen
+#: before; on short ones zstandard's frame weighs. The least lies a few hundredths below any text labelled good.
 WHOLE_LIMITS = (
     (0, 0.0, 9.9),
     (64, 0.30, 1.60),
     (128, 0.34, 1.15),
-    (256, 0.34, 0.95),
-    (512, 0.34, 0.85),
-    (1024, 0.32, 0.78),
-    (4096, 0.30, 0.74),
-    (16384, 0.28, 0.72),
+    (256, 0.42, 0.95),
+    (512, 0.46, 0.85),
+    (1024, 0.445, 0.78),
+    (2048, 0.43, 0.76),
+    (4096, 0.40, 0.74),
+    (16384, 0.37, 0.72),
+    (65536, 0.35, 0.72),
 )
 #: Fixed values. The same for chunks of CHUNK_BYTES, and the share of a text's chunks that may lie outside.
 CHUNK_BYTES = 4096
-CHUNK_LIMITS = (0.30, 0.78)
+CHUNK_LIMITS = (0.415, 0.78)
 CHUNK_SHARE = 0.30
 LEVEL = 3
 
