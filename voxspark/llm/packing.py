@@ -19,7 +19,7 @@ from voxspark.llm.shared import blocks_for
 WINDOW = 1024
 SHARD_BYTES = 2 << 20
 K1, B = 1.2, 0.75
-MOST_CACHED = 1_200_000
+MOST_CACHED = 800_000
 
 _U = np.uint64
 SCHEMA = (
@@ -68,7 +68,7 @@ class Ids:
         body = piece[1:] if piece[0] == " " else piece
         if body.isalpha():
             return self._word(piece)
-        if body[-1] in ".,;:!?" and body[:-1].isalpha():
+        if body[-1:] in ".,;:!?" and body[:-1].isalpha():
             return self._encode(piece[:-1]) + self._word(piece[-1])
         return [i for word in self.split.findall(piece) for i in self._word(word)]
 
