@@ -384,9 +384,9 @@ def denoise_threshold(spark, d):
 # quality
 
 
-@query(sql(_PAIRS + ", s AS (SELECT count(*) n, cast(sum(err * err) AS bigint) sse, cast(sum(err) AS bigint) sae, max(err) max_err FROM p) SELECT n, sse, sae, max_err, round(CASE WHEN sse = 0 THEN 99.0 ELSE 10 * log10(65025.0 / (sse / cast(n AS double))) END, 6) psnr, round(sqrt(sse / cast(n AS double)), 6) rmse, round(sae / cast(n AS double), 6) mae FROM s", "vr"))
+@query(sql(_PAIRS + ", s AS (SELECT count(*) n, cast(sum(err * err) AS bigint) sse, cast(sum(err) AS bigint) sae, max(err) max_err FROM p WHERE a > 0) SELECT n, sse, sae, max_err, round(CASE WHEN sse = 0 THEN 99.0 ELSE 10 * log10(65025.0 / (sse / cast(n AS double))) END, 6) psnr, round(sqrt(sse / cast(n AS double)), 6) rmse, round(sae / cast(n AS double), 6) mae FROM s", "vr"))
 def quality_basket(spark, d):
-    return metrics.basket(_pairs(spark, d))
+    return metrics.basket(_pairs(spark, d).filter("a > 0"))
 
 
 @query(sql(_PAIRS + "SELECT err, count(*) n FROM p GROUP BY ALL", "vr"))
