@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="voxspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+@lru_cache(8)
+def _own_dir(application: str) -> str:
+    path = tempfile.mkdtemp(prefix="voxspark-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; one of this driver's where that is unset, as in local tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A path of the shared folder that nothing has used."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
