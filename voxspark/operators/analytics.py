@@ -121,3 +121,53 @@ def best_point(points: DataFrame, least_psnr: float) -> DataFrame:
     """Of (q, ratio, psnr) the point with the largest ratio that is good enough."""
     top = F.max_by(F.struct("q", "ratio", "psnr"), "ratio")
     return points.filter(F.col("psnr") >= least_psnr).agg(top.alias("p")).select("p.*")
+
+
+def drop_high(coefficients: DataFrame, keep: int) -> DataFrame:
+    """Coefficients without those above a frequency: rows that aren't there are zeros."""
+    return coefficients.filter(F.col("f") <= keep)
+
+
+def spectrum_weights(spectrum: DataFrame, low: float = 1.0, high: float = 3.0) -> DataFrame:
+    """A quantiser weight for each frequency: how far its power lies below the strongest, within bounds."""
+    top = spectrum.filter("f > 0").agg(F.max("rms").alias("top"))
+    weight = F.least(F.lit(high), F.greatest(F.lit(low), F.sqrt(F.col("top") / F.greatest(F.col("rms"), F.lit(1e-6)))))
+    return spectrum.crossJoin(F.broadcast(top)).select("f", F.round(weight, 6).alias("weight"))
+
+
+def adaptive_steps(coefficients: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """A step for each block from a codebook of eight, by the power of its coefficients but the first."""
+    ac = F.sqrt(F.sum(F.when(F.col("f") > 0, (F.col("v") * F.col("v")).cast("long")).otherwise(0)) / F.count("*"))
+    index = F.least(F.lit(7), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(ac, F.lit(1.0)))))).cast("int")
+    return coefficients.groupBy(*keys).agg(F.round(ac, 6).alias("power"), index.alias("entry")).withColumn("q", F.round(F.lit(q) * (F.lit(1.0) + F.col("entry") / F.lit(8.0)), 6))
+
+
+def octree(voxels: DataFrame, top: int, bottom: int, most_air: float, most_variance: float) -> DataFrame:
+    """(size, z, y, x, kind) of a split from cubes of ``top`` down to ``bottom``: ``zero``, or ``leaf``.
+
+    A cube with much air or a large variance is split while it is larger than ``bottom``. Statistics of each size
+    come from the voxels' sums of the size below; a cube is visited if the one above it was split.
+    """
+    sums = [F.sum(c).alias(c) for c in ("n", "nz", "s", "ss")]
+    now = voxels.select(*CUBE, F.lit(1).cast("long").alias("n"), (F.col("v") != 0).cast("long").alias("nz"), F.col("v").cast("long").alias("s"), (F.col("v") * F.col("v")).cast("long").alias("ss"))
+    levels, size = {}, 1
+    while size < top:
+        size *= 2
+        now = now.groupBy(*[div(c, 2).alias(c) for c in CUBE]).agg(*sums)
+        if size >= bottom:
+            levels[size] = now
+    out, parents, size = None, None, top
+    while size >= bottom:
+        at = levels[size]
+        if parents is not None:
+            above = parents.select(*[F.col(c).alias(f"p{c}") for c in CUBE])
+            at = at.join(above, [div(c, 2) == F.col(f"p{c}") for c in CUBE], "left_semi")
+        mean = F.col("s") / F.greatest(F.col("nz"), F.lit(1))
+        variance = F.col("ss") / F.greatest(F.col("nz"), F.lit(1)) - mean * mean
+        split = F.lit(size > bottom) & ((1 - F.col("nz") / F.col("n") > most_air) | (variance > most_variance))
+        kind = F.when(F.col("nz") == 0, "zero").when(split, "split").otherwise("leaf")
+        at = at.withColumn("kind", kind)
+        done = at.filter("kind <> 'split'").select(F.lit(size).alias("size"), *CUBE, "kind")
+        out = done if out is None else out.unionByName(done)
+        parents, size = at.filter("kind = 'split'"), size // 2
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxspark.functions.addressing import region, slot
+from voxspark.functions.addressing import local, region, slot
 from voxspark.model import KNOWN_ZERO, PRESENT
 
 REGION = ["rz", "ry", "rx"]
@@ -48,3 +48,37 @@ def sampled(atoms: DataFrame, dims: tuple[int, int, int], stride: int) -> DataFr
     return atoms.filter(((F.col("az").cast("long") * ny + F.col("ay")) * nx + F.col("ax")) % stride == 0)
 
 
+
+
+def tree_nodes(chunks: DataFrame) -> DataFrame:
+    """Chunks (cz, cy, cx) under nodes of 16^3 children: each child's index, and its rank among those present."""
+    child = (local("cz", 16) * 16 + local("cy", 16)) * 16 + local("cx", 16)
+    keyed = chunks.select(region16("cz").alias("sz"), region16("cy").alias("sy"), region16("cx").alias("sx"), child.alias("child"))
+    w = Window.partitionBy("sz", "sy", "sx").orderBy("child")
+    return keyed.withColumn("rank", F.row_number().over(w) - 1)
+
+
+def node_bitmaps(nodes: DataFrame) -> DataFrame:
+    """The presence bits of each node's children, 64 to a word: grouped ORs, so no list of children is collected."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("child").bitwiseAND(63))
+    words = nodes.groupBy("sz", "sy", "sx", F.shiftright("child", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return words.withColumn("n", F.bit_count("bits"))
+
+
+def region16(c: str):
+    return F.shiftright(F.col(c), 4)
+
+
+def payload_ratio(coded: DataFrame, voxels_per_atom: int = 32768) -> DataFrame:
+    """Over present atoms: their bytes, voxels to bytes, and bytes to a present atom."""
+    present = coded.filter(F.col("cover") == PRESENT)
+    n, total = F.count("*"), F.sum("len").cast("long")
+    return present.agg(n.alias("present"), total.alias("bytes"), F.round(n * voxels_per_atom / total, 6).alias("ratio"))
+
+
+def throughput(rows: DataFrame, at: str, seconds: int) -> DataFrame:
+    """Rows in each interval, those so far, and the change from the interval before. One row an interval."""
+    slot_ = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / seconds).cast("long").alias("slot")
+    per = rows.groupBy(slot_).agg(F.count("*").alias("n"))
+    w = Window.orderBy("slot")
+    return per.select("slot", "n", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), (F.col("n") - F.lag("n").over(w)).alias("change"))

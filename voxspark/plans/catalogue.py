@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxspark.codec import atoms as codec
@@ -456,6 +456,69 @@ def io_read_once(spark, d):
     return r.groupBy("cz", "cy", "cx", "band").agg(F.count("*").alias("n")).agg(F.sum("n").alias("reads"), F.count("*").alias("once"))
 
 
+# trees, ratios and lab analytics
+
+
+@query(sql("+ c AS (SELECT DISTINCT y // 16 // 16 sy, x // 16 // 16 sx, z // 16 // 16 sz, ((z // 16) % 16 * 16 + (y // 16) % 16) * 16 + (x // 16) % 16 child FROM vs WHERE v <> 0) SELECT sz, sy, sx, child, row_number() OVER (PARTITION BY sz, sy, sx ORDER BY child) - 1 AS rank FROM c", "vs"))
+def sparse_tree_ranks(spark, d):
+    return repack.tree_nodes(occupancy.occupied(fixtures.sparse(spark, d), 16))
+
+
+@query(sql("+ c AS (SELECT DISTINCT y // 16 // 16 sy, x // 16 // 16 sx, z // 16 // 16 sz, ((z // 16) % 16 * 16 + (y // 16) % 16) * 16 + (x // 16) % 16 child FROM vs WHERE v <> 0) SELECT sz, sy, sx, child >> 6 AS word, count(*) n FROM c GROUP BY ALL", "vs"))
+def sparse_tree_bitmaps(spark, d):
+    return repack.node_bitmaps(repack.tree_nodes(occupancy.occupied(fixtures.sparse(spark, d), 16))).select("sz", "sy", "sx", "word", "n")
+
+
+@query(sql(_ATOMS + "SELECT count(*) present, cast(sum(len) AS bigint) bytes, round(count(*) * 32768 / cast(sum(len) AS double), 6) ratio FROM t WHERE cover = 2", "vs"))
+def payload_ratio(spark, d):
+    return repack.payload_ratio(_atoms(spark, d))
+
+
+@query(sql(_ATOMS + ", u AS (SELECT 0 lod, * FROM t UNION ALL SELECT DISTINCT 1, az // 2, ay // 2, ax // 2, 2, cast(1 AS bigint) FROM t) SELECT lod, az, ay, ax, row_number() OVER (ORDER BY lod DESC, az // 32, ay // 32, ax // 32, (az % 32 * 32 + ay % 32) * 32 + ax % 32) place FROM u", "vs"))
+def layout_order(spark, d):
+    fine = _atoms(spark, d).withColumn("lod", F.lit(0))
+    coarse = fine.select(A.div("az", 2).alias("az"), A.div("ay", 2).alias("ay"), A.div("ax", 2).alias("ax"), F.lit(2).alias("cover"), F.lit(1).cast("long").alias("len"), F.lit(1).alias("lod")).distinct()
+    laid = repack.layout(fine.unionByName(coarse))
+    return laid.select("lod", "az", "ay", "ax", F.row_number().over(Window.orderBy(F.desc("lod"), "rz", "ry", "rx", "slot")).alias("place"))
+
+
+@query("WITH p AS (SELECT cast(floor(epoch(ts) / 3600) AS bigint) slot, count(*) n FROM events GROUP BY ALL) SELECT slot, n, cast(sum(n) OVER (ORDER BY slot) AS bigint) upto, n - lag(n) OVER (ORDER BY slot) AS change FROM p QUALIFY change IS NOT NULL")
+def ingest_throughput(spark, d):
+    return repack.throughput(fixtures.append_log(spark, d), "ts", 3600).filter("change IS NOT NULL")
+
+
+@query(_chain("cf", "SELECT block, z, y, x, v FROM cf WHERE z + y + x <= 20"))
+def frequency_cut(spark, d):
+    return analytics.drop_high(transform.with_frequency(_coefficients(spark, d)), 20).select(*BLOCK_KEYS, "v")
+
+
+@query(_chain("cf", ", s AS (SELECT z + y + x f, round(sqrt(cast(sum(v * v) AS double) / count(*)), 6) rms FROM cf GROUP BY ALL) SELECT f, round(least(3.0, greatest(1.0, sqrt((SELECT max(rms) FROM s WHERE f > 0) / greatest(rms, cast(0.000001 AS double))))), 6) weight FROM s"))
+def spectrum_quant_table(spark, d):
+    return analytics.spectrum_weights(analytics.power_spectrum(transform.with_frequency(_coefficients(spark, d))))
+
+
+@query(_chain("cf", ", s AS (SELECT block, sqrt(cast(sum(CASE WHEN z + y + x > 0 THEN v * v ELSE 0 END) AS double) / count(*)) p FROM cf GROUP BY ALL), e AS (SELECT block, round(p, 6) power, cast(least(7, greatest(0, floor(log2(greatest(p, cast(1 AS double)))))) AS int) entry FROM s) SELECT *, round(cast(4 AS double) * (1 + entry / cast(8 AS double)), 6) q FROM e"))
+def adaptive_q_codebook(spark, d):
+    return analytics.adaptive_steps(transform.with_frequency(_coefficients(spark, d)), ["block"], Q)
+
+
+def _tree_sql(top: int, bottom: int, air: float, variance: float) -> str:
+    parts, size = [], top
+    while size >= bottom:
+        st = f"SELECT z // {size} z, y // {size} y, x // {size} x, count(*) n, count(*) FILTER (WHERE v <> 0) nz, cast(sum(v) AS double) s, cast(sum(v * v) AS double) ss FROM vd GROUP BY ALL"
+        up = "" if size == top else f" WHERE EXISTS (SELECT 1 FROM k{2 * size} p WHERE p.kind = 'split' AND p.z = a.z // 2 AND p.y = a.y // 2 AND p.x = a.x // 2)"
+        split = f"WHEN 1 - nz / cast(n AS double) > cast({air} AS double) OR ss / greatest(nz, 1) - (s / greatest(nz, 1)) * (s / greatest(nz, 1)) > {variance} THEN 'split'" if size > bottom else ""
+        parts.append(f"k{size} AS (SELECT z, y, x, CASE WHEN nz = 0 THEN 'zero' {split} ELSE 'leaf' END kind FROM ({st}) a{up})")
+        size //= 2
+    sizes = [top >> i for i in range(len(parts))]
+    return "+ " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {n} AS size, z, y, x, kind FROM k{n} WHERE kind <> 'split'" for n in sizes)
+
+
+@query(sql(_tree_sql(8, 2, 0.32, 900.0), "vd"))
+def octree_split(spark, d):
+    return analytics.octree(fixtures.dense(spark, d), 8, 2, 0.32, 900.0)
+
+
 # coding
 
 
