@@ -13,7 +13,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxspark.llm.textkit import as_array
+from voxspark.llm import textkit
 
 #: The classifier is fitted on a sample of labelled documents: about SAMPLE of each language, by hash of the id,
 #: of the MOST_LANGUAGES languages with most documents. A word or n-gram is known if it is found LEAST times in the
@@ -24,9 +24,12 @@ LEAST = 2
 KNOWN = 1 << 16
 GRAMS = (5, 4, 3, 2, 1)
 FOLDS = 5
-MOST_CACHED = 200_000
+MOST_CACHED = 400_000
 NONE = "und"
 
+#: ASCII characters that aren't letters stand between words, whatever else does.
+GAP = np.ones(256, bool)
+GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -41,32 +44,39 @@ def _grams(word: str, n: int) -> list[str]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (n = 0) and n-grams by language, added up in each partition of the sample."""
-    found: Counter = Counter()
+    whole: dict[str, Counter] = {}
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            for word, count in words(text).items():
-                found[lang, 0, word] += count
-                for n in GRAMS:
+            whole.setdefault(lang, Counter()).update(words(text))
+    for lang, counted in whole.items():
+        for n in (0, *GRAMS):
+            found: Counter = counted
+            if n:
+                found = Counter()
+                for word, count in counted.items():
                     for g in _grams(word, n):
-                        found[lang, n, g] += count
-    if found:
-        lang, n, gram = zip(*found, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(n, pa.int32()), pa.array(gram), pa.array(list(found.values()), pa.int64())], ["lang", "n", "gram", "count"])
+                        found[g] += count
+            size = len(found)
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array(np.full(size, n, np.int32)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["lang", "n", "gram", "count"])
 
 
 @dataclass
 class Model:
-    """For words and each n, the log frequency of every known item in each language."""
+    """The log frequency of every known word and n-gram in each language; tables tell their places."""
 
     languages: list[str]
     tables: dict[int, dict[str, int]] = field(default_factory=dict)
-    values: dict[int, np.ndarray] = field(default_factory=dict)
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    grams: list[tuple[int, dict[str, int]]] = field(default_factory=list)
+    values: np.ndarray | None = None
+    rows: dict[int, int] = field(default_factory=dict)
+    vectors: np.ndarray | None = None
 
     def fit(self, rows: pa.Table) -> Model:
         place = {v: i for i, v in enumerate(self.languages)}
         n_of, lang_of = rows.column("n").to_numpy(), np.array([place[v] for v in rows.column("lang").to_pylist()], np.int64)
         gram_of, count_of, total_of = rows.column("gram").to_pylist(), rows.column("count").to_numpy(), rows.column("total").to_numpy()
+        parts, base = [], 0
         for n in (0, *GRAMS):
             table: dict[str, int] = {}
             on = np.flatnonzero(n_of == n)
@@ -74,38 +84,80 @@ class Model:
             count, total = np.zeros((len(table), len(self.languages))), np.ones(len(self.languages))
             count[item, lang_of[on]] = count_of[on]
             total[lang_of[on]] = total_of[on]
-            self.tables[n], self.values[n] = table, np.log((count + 0.5) / (total + 0.5 * (len(table) + 1)))
+            parts.append(np.log((count + 0.5) / (total + 0.5 * (len(table) + 1))))
+            self.tables[n] = {g: i + base for g, i in table.items()}
+            base += len(table)
+        self.values = np.concatenate(parts)
+        self.grams = [(n, self.tables[n]) for n in GRAMS]
         return self
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Mean log frequency of a word's n-grams, each the longest that is known from its place on."""
-        edged = f"_{word}_"
-        found = []
+    def parts(self, word: str) -> list[int]:
+        """Places of what speaks for a word: its own, or of its n-grams, from each place on the longest known."""
+        at = self.tables[0].get(word)
+        if at is not None:
+            return [at]
+        edged, found = f"_{word}_", []
         for i in range(len(edged) - 1):
-            for n in GRAMS:
-                at = self.tables[n].get(edged[i : i + n]) if i + n <= len(edged) else None
+            for n, table in self.grams:
+                at = table.get(edged[i : i + n])
                 if at is not None:
-                    found.append(self.values[n][at])
+                    found.append(at)
                     break
-        return np.mean(found, axis=0) if found else np.zeros(len(self.languages))
+        return found
+
+    def backoff(self, word: str) -> np.ndarray:
+        """Mean log frequency of a word's n-grams, or its own log frequency."""
+        found = self.parts(word)
+        return self.values[found].mean(0) if found else np.zeros(len(self.languages))
 
     def score(self, counted: Counter) -> np.ndarray:
         """Log likelihood of words by language; unseen words count through their n-grams."""
-        table, values = self.tables[0], self.values[0]
-        known, times, total = [], [], np.zeros(len(self.languages))
-        for word, count in counted.items():
-            at = table.get(word)
-            if at is not None:
-                known.append(at)
-                times.append(count)
-            else:
-                own = self.cache.get(word)
-                if own is None:
-                    if len(self.cache) >= MOST_CACHED:
-                        self.cache.clear()
-                    own = self.cache[word] = self.backoff(word)
-                total = total + count * own
-        return total + np.array(times) @ values[known] if known else total
+        return sum((count * self.backoff(word) for word, count in counted.items()), np.zeros(len(self.languages)))
+
+    def _learn(self, keys: list[int], runs: Iterator[bytes]) -> None:
+        """Rows of runs that weren't met yet: their words' vectors added up, and how many words they are."""
+        flat: list[int] = []
+        size, owner, worded = [], [], []
+        for number, run in enumerate(runs):
+            found = _WORD.findall(run.decode("utf-8", "replace").lower())
+            worded.append(bool(found))
+            for word in found:
+                got = self.parts(word)
+                if got:
+                    flat += got
+                    size.append(len(got))
+                    owner.append(number)
+        new = np.zeros((len(keys), len(self.languages) + 1))
+        new[:, -1] = worded
+        if flat:
+            many = np.array(size)
+            np.add.at(new, (np.array(owner), slice(None, -1)), np.add.reduceat(self.values[flat], np.cumsum(many) - many) / many[:, None])
+        first = len(self.rows)
+        if self.vectors is None or first + len(new) > len(self.vectors):
+            grown = np.zeros((max(1 << 14, 2 * (first + len(new))), len(self.languages) + 1))
+            if first:
+                grown[:first] = self.vectors[:first]
+            self.vectors = grown
+        self.vectors[first : first + len(new)] = new
+        self.rows.update(zip(keys, range(first, first + len(new)), strict=True))
+
+    def totals(self, t: textkit.Texts) -> np.ndarray:
+        """Log likelihoods of a slice of texts by language, and in the last column whether a text has words."""
+        if len(self.rows) > MOST_CACHED:
+            self.rows.clear()
+        w = textkit.words(t, gap=GAP)
+        value, first, where = np.unique(w.hash, return_index=True, return_inverse=True)
+        keys, known = value.tolist(), self.rows
+        new = [i for i, v in enumerate(keys) if v not in known]
+        if new:
+            raw, at = t.data.tobytes(), first[new]
+            self._learn([keys[i] for i in new], (raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)))
+        out = np.zeros((t.rows, len(self.languages) + 1))
+        if len(keys):
+            row = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+            for j in range(out.shape[1]):
+                out[:, j] = np.bincount(w.row, self.vectors[row, j][where], t.rows)
+        return out
 
 
 def fit(docs: DataFrame) -> Model:
@@ -132,16 +184,13 @@ def _predict(model: Broadcast):
         m: Model = model.value
         for b in batches:
             names, scores = [], []
-            for text in as_array(b.column("text")).to_pylist():
-                counted = words(text)
-                if not counted or not m.languages:
-                    names.append(NONE)
-                    scores.append(0.0)
-                    continue
-                total = m.score(counted)
-                best = int(np.argmax(total))
-                names.append(m.languages[best])
-                scores.append(float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum()))
+            for t in textkit.slices(b.column("text")):
+                totals = m.totals(t)
+                best = totals[:, :-1].argmax(1) if m.languages else np.zeros(t.rows, np.int64)
+                worded = (totals[:, -1] > 0) & bool(m.languages)
+                for total, i, on in zip(totals[:, :-1], best.tolist(), worded.tolist(), strict=True):
+                    names.append(m.languages[i] if on else NONE)
+                    scores.append(float(1 / np.exp(np.clip(total - total[i], -700, 0)).sum()) if on else 0.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
