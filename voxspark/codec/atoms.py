@@ -22,17 +22,26 @@ CODED = "az int, ay int, ax int, cover int, dc int, q double, payload binary"
 def pack(voxels: DataFrame, n: int = ATOM) -> DataFrame:
     """(az, ay, ax, vox) of voxels (z, y, x, v): n^3 bytes in raster order, 0 where no voxel is given.
 
-    A group is one atom, n^3 rows at most, put together on the side that shuffles it.
+    An atom's list has n^3 entries at most; it is put together on the side that shuffles it.
     """
     place = (local("z", n) * n + local("y", n)) * n + local("x", n)
-    keyed = voxels.filter("v <> 0").select(*[F.floor(F.col(c) / n).cast("int").alias(k) for c, k in zip("zyx", KEY, strict=True)], place.cast("int").alias("place"), F.col("v").cast("int").alias("v"))
+    keys = [F.floor(F.col(c) / n).cast("int").alias(k) for c, k in zip("zyx", KEY, strict=True)]
+    # Coding an atom takes milliseconds, its voxels are some KB: small exchanges are kept from being merged to one task.
+    parts = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = voxels.filter("v <> 0").select(*keys, (place * 256 + F.col("v")).cast("int").alias("cell")).repartition(parts, *KEY)
+    lists = keyed.groupBy(*KEY).agg(F.collect_list("cell").alias("cells"))
 
-    def one(table: pa.Table) -> pa.Table:
-        vox = np.zeros(n**3, np.uint8)
-        vox[table.column("place").to_numpy()] = table.column("v").to_numpy()
-        return pa.table({**{k: table.column(k).slice(0, 1) for k in KEY}, "vox": pa.array([vox.tobytes()])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
+                cells = b.column("cells")
+                flat, size = cells.flatten().to_numpy(), cells.value_lengths().to_numpy()
+                vox = np.zeros((b.num_rows, n**3), np.uint8)
+                vox[np.repeat(np.arange(b.num_rows), size), flat >> 8] = flat & 255
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEY), pa.array([v.tobytes() for v in vox], pa.binary())], [*KEY, "vox"])
 
-    return keyed.groupBy(*KEY).applyInArrow(one, "az int, ay int, ax int, vox binary")
+    return lists.mapInArrow(run, "az int, ay int, ax int, vox binary")
 
 
 def unpack(atoms: DataFrame, n: int = ATOM) -> DataFrame:
