@@ -11,7 +11,7 @@ from voxspark.llm.shared import written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+    return both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -21,18 +21,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return sent.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre, or a leaf of one centre."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("node"), F.lit(0).alias("centre"), F.lit(1).alias("leaf")))).alias("e")).select("e.*")
+    by_node = ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("leaf").alias("leaf"))
+    return by_node.filter((F.col("leaf") + F.col("centre") > 1)).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, part) of all nodes of edges (a, b): part is the least node reachable.
 
-    Each step is a grouped minimum and a join on the node; edges are written between steps, and only their
-    count and a checksum come to the driver. No edges give no rows; loops and repeated edges do no harm.
+    Each step is a grouped minimum and a join on the node; edges are written between steps, until they are stars
+    around the least nodes. No edges give no rows; loops and repeated edges do no harm. Nothing is collected.
     """
     now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    seen = None
     while True:
         now = written(_small_star(_large_star(now)), "edges")
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (mark["n"], mark["h"]) == seen:
+        if _stars(now):
             break
-        seen = (mark["n"], mark["h"])
     return now.select(F.col("b").alias("node"), F.col("a").alias("part")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("part")).distinct())
