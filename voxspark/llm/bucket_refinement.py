@@ -93,13 +93,17 @@ class Block:
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """The bytes around each suffix that its strings cover, others 0, and a bit for each distance it stands for."""
-        column = np.arange(REACH)
-        place = self.at[:, None] - (OFFSETS - 1) + column
-        inside = (place >= self.low[:, None]) & (place < self.high[:, None] + DEPTH)
-        around = np.where(inside, self.data[np.where(inside, place, 0)], 0).astype(np.uint8)
-        distance = self.at[:, None] - np.arange(OFFSETS)
-        valid = (distance >= self.low[:, None]) & (distance <= self.high[:, None])
-        return around, (valid.astype(np.uint32) << np.arange(OFFSETS, dtype=np.uint32)).sum(1, dtype=np.uint32)
+        column, apart = np.arange(REACH), np.arange(OFFSETS)
+        around, bits = np.empty((len(self.at), REACH), np.uint8), np.empty(len(self.at), np.uint32)
+        for i in range(0, len(self.at), 16384):  # places take eight times the bytes that they lead to
+            part = slice(i, i + 16384)
+            at, low, high = self.at[part, None], self.low[part, None], self.high[part, None]
+            place = at - (OFFSETS - 1) + column
+            inside = (place >= low) & (place < high + DEPTH)
+            around[part] = np.where(inside, self.data[np.where(inside, place, 0)], 0)
+            valid = (at - apart >= low) & (at - apart <= high)
+            bits[part] = (valid.astype(np.uint32) << apart.astype(np.uint32)).sum(1, dtype=np.uint32)
+        return around, bits
 
     def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts ordered by bucket: (first suffix with each, its bytes, its bits, each suffix's context)."""
