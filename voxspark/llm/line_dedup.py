@@ -49,15 +49,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         .groupBy("__ld_id", "__ld_text")
         .agg(F.collect_set("pos").alias("__ld_gone"))
     )
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__ld_gone"), i))
-    out = own.join(dropped, ["__ld_id", "__ld_text"], "left")
+    out = own.join(dropped, ["__ld_id", "__ld_text"], "left").withColumn("__ld_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    # Hashed difference of positions, then a look at each that stays: linear in a text's lines.
+    places = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), "__ld_gone")
+    kept = F.array_join(F.transform(places, lambda i: F.get("__ld_lines", i)), "\n")
     new = {
-        "n_lines": F.size(lines).cast("long"),
+        "n_lines": F.size("__ld_lines").cast("long"),
         "n_dropped": F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("__ld_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
     }
-    return out.select(*[new.pop(c) .alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], *[v.alias(k) for k, v in new.items()])
+    text = F.when(F.col("__ld_gone").isNull(), F.col("text")).otherwise(kept).alias("text")
+    return out.select(*[text if c == "text" else F.col(c) for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def chars(deduped: DataFrame) -> Column:
