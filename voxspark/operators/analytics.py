@@ -70,7 +70,7 @@ def close(points: DataFrame, within: DataFrame) -> DataFrame:
 def fill_once(voxels: DataFrame) -> DataFrame:
     """One sweep over the air of each block: the mean of its neighbours in the block; material stays."""
     dc = material_dc(voxels, ["block"])
-    start = voxels.join(F.broadcast(dc), "block").withColumn("f", F.when(F.col("v") == 0, F.col("dc")).otherwise(F.col("v")))
+    start = voxels.join(dc, "block").withColumn("f", F.when(F.col("v") == 0, F.col("dc")).otherwise(F.col("v")))
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in _STEPS[1:]])).alias("d")
     given = start.select("block", *CUBE, "f", step).select("block", (F.col("z") + F.col("d.a")).alias("z"), (F.col("y") + F.col("d.b")).alias("y"), (F.col("x") + F.col("d.c")).alias("x"), "f")
     mean = given.groupBy("block", *CUBE).agg(F.floor(F.sum("f") / F.count("*") + F.lit(0.5)).cast("int").alias("m"))
