@@ -130,9 +130,10 @@ def drop_high(coefficients: DataFrame, keep: int) -> DataFrame:
 
 def spectrum_weights(spectrum: DataFrame, low: float = 1.0, high: float = 3.0) -> DataFrame:
     """A quantiser weight for each frequency: how far its power lies below the strongest, within bounds."""
-    top = spectrum.filter("f > 0").agg(F.max("rms").alias("top"))
+    # A spectrum has 3n - 2 rows for blocks of n^3, so one window holds it.
+    top = F.max(F.when(F.col("f") > 0, F.col("rms"))).over(Window.partitionBy(F.lit(1)))
     weight = F.least(F.lit(high), F.greatest(F.lit(low), F.sqrt(F.col("top") / F.greatest(F.col("rms"), F.lit(1e-6)))))
-    return spectrum.crossJoin(F.broadcast(top)).select("f", F.round(weight, 6).alias("weight"))
+    return spectrum.withColumn("top", top).select("f", F.round(weight, 6).alias("weight"))
 
 
 def adaptive_steps(coefficients: DataFrame, keys: list[str], q: float) -> DataFrame:
