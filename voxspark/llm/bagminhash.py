@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxspark.llm import textkit
 from voxspark.llm.components import components
-from voxspark.llm.shared import written
+from voxspark.llm.shared import sized, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -144,8 +144,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = reps.select("doc", "size", F.explode("bands").alias("band"))
     buckets = written(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "bmh-buckets")
     members = written(banded.join(buckets, "band").select("band", "doc"), "bmh-members")
-    candidates = members.select("doc").distinct()
-    sets = written(docs.join(candidates.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").mapInArrow(_elements, "doc long, ids array<long>").dropDuplicates(["doc"]), "bmh-sets")
+    candidates = sized(written(members.select(F.col("doc").alias("doc_id")).distinct(), "bmh-candidates"))
+    sets = written(docs.join(candidates, "doc_id", "left_semi").mapInArrow(_elements, "doc long, ids array<long>").dropDuplicates(["doc"]), "bmh-sets")
     alone = sets.select("doc", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1").groupBy("doc").agg(F.count("*").alias("alone"))
     size = F.size("ids").cast("long")
     live = written(
@@ -202,6 +202,23 @@ def _allowed(pairs: DataFrame, live: DataFrame) -> DataFrame:
     return both.filter(_can_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"))).select("a", "b")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with the row of least doc_id of each class; rows with a null doc_id stay, as do empty texts.
+
+    Rows that repeat a kept doc_id all stay: ids name documents.
+    """
+    first = F.max(F.col("doc_id") == F.col("class_id")).alias("first")
+    others = near_duplicates(docs).groupBy("doc_id").agg(first).filter(~F.col("first"))
+    others = sized(written(others.select(F.col("doc_id").alias("__nd_id")), "bmh-others-of-classes"))
+    return docs.withColumn("__nd_id", F.col("doc_id").cast("long")).join(others, "__nd_id", "left_anti").drop("__nd_id")
+
+
+def _allowed(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    left, right = (live.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(_can_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"))).select("a", "b")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with the row of least doc_id of each class; rows with a null doc_id stay, as do empty texts.
 

@@ -21,6 +21,11 @@ def blocks_for(docs: DataFrame, block_bytes: int) -> int:
     return max(1, -(-text_bytes(docs) // block_bytes))
 
 
+def sized(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A written table of one long column: sent to all tasks if it has at most ``most`` rows, 16 MB; else joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def in_blocks(docs: DataFrame, n: int, name: str) -> DataFrame:
     """``docs`` with its column ``block`` (0 to n - 1), written bucketed by it: grouping by block shuffles no more."""
     spark = docs.sparkSession
@@ -38,4 +43,4 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
-__all__ = ["benchmark", "blocks_for", "documents", "in_blocks", "text_bytes", "written"]
+__all__ = ["benchmark", "blocks_for", "documents", "in_blocks", "sized", "text_bytes", "written"]
