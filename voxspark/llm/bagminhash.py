@@ -211,19 +211,3 @@ def keep_one(docs: DataFrame) -> DataFrame:
     others = near_duplicates(docs).groupBy("doc_id").agg(first).filter(~F.col("first"))
     others = sized(written(others.select(F.col("doc_id").alias("__nd_id")), "bmh-others-of-classes"))
     return docs.withColumn("__nd_id", F.col("doc_id").cast("long")).join(others, "__nd_id", "left_anti").drop("__nd_id")
-
-
-def _allowed(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    left, right = (live.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.filter(_can_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"))).select("a", "b")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of least doc_id of each class; rows with a null doc_id stay, as do empty texts.
-
-    Rows that repeat a kept doc_id all stay: ids name documents.
-    """
-    firsts = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("__nd_id")).distinct()
-    own = docs.withColumn("__nd_id", F.col("doc_id").cast("long"))
-    return own.filter("__nd_id IS NULL").drop("__nd_id").unionByName(own.join(firsts, "__nd_id", "left_semi").drop("__nd_id"))
