@@ -50,9 +50,10 @@ class Ids:
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[int, int] = {}
+        # Ordered hashes of the pieces in the cache, and the number of each: 12 bytes a piece.
+        self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _word(self, word: str) -> list[int]:
         if not word.isascii():
@@ -72,13 +73,14 @@ class Ids:
             return self._encode(piece[:-1]) + self._word(piece[-1])
         return [i for word in self.split.findall(piece) for i in self._word(word)]
 
-    def _add(self, keys: list[int], pieces: Iterator[str]) -> None:
+    def _add(self, keys: np.ndarray, place: np.ndarray, pieces: Iterator[str]) -> None:
+        """Puts pieces in the cache, their ordered hashes at their places among those it has."""
         got, ends = [], []
         for piece in pieces:
             got += self._encode(piece)
             ends.append(len(got))
         upto = np.array(ends)
-        first, last = len(self.codes), len(self.codes) + len(keys)
+        first, last = len(self.keys), len(self.keys) + len(keys)
         while self.used + len(got) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while last > len(self.start):
@@ -87,11 +89,12 @@ class Ids:
         self.length[first:last] = np.diff(upto, prepend=0)
         self.start[first:last] = self.used + upto - self.length[first:last]
         self.used += len(got)
-        self.codes.update(zip(keys, range(first, last), strict=True))
+        self.keys = np.insert(self.keys, place, keys)
+        self.codes = np.insert(self.codes, place, np.arange(first, last, dtype=np.int32))
 
     def of(self, t: textkit.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids in order, each text's first place in them; the row and the hash of each piece without its blank."""
-        if len(self.codes) > MOST_CACHED:
+        if len(self.keys) > MOST_CACHED:
             self.clear()
         raw = t.data.tobytes()
         start, row = _cuts(t)
@@ -105,13 +108,16 @@ class Ids:
             got = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
             return np.fromiter(chain.from_iterable(got), np.uint32), np.concatenate([[0], np.cumsum([len(g) for g in got])]), row, term
         value, first, where = np.unique(term ^ blank, return_index=True, return_inverse=True)
-        keys, known = value.tolist(), self.codes
-        new = [i for i, v in enumerate(keys) if v not in known]
-        if new:
+        place = np.searchsorted(self.keys, value)
+        had = np.zeros(len(value), bool)
+        if len(self.keys):
+            had = self.keys[np.minimum(place, len(self.keys) - 1)] == value
+        new = np.flatnonzero(~had)
+        if len(new):
             at = first[new]
             spans = zip(start[at].tolist(), end[at].tolist(), strict=True)
-            self._add([keys[i] for i in new], (raw[x:y].decode("utf-8", "replace") for x, y in spans))
-        code = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[where]
+            self._add(value[new], place[new], (raw[x:y].decode("utf-8", "replace") for x, y in spans))
+        code = self.codes[np.searchsorted(self.keys, value)][where]
         size = self.length[code]
         upto = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[code] - (upto - size), size) + np.arange(upto[-1])]
