@@ -78,3 +78,14 @@ def test_without_training_documents(spark, docs):
     i = next(i for i in range(100) if held(i))
     (r,) = backoff_lm.lm_scores(spark.createDataFrame([(i, "a b")], "doc_id long, text string")).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and math.isclose(r.score, 3 * math.log10(0.5))
+
+
+def test_ngrams_dont_depend_on_the_corpus_size(spark, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", 400_000)
+    rows = [(i, f"the quick red fox {i} sees the red dog") for i in range(12)]
+    for filler in (1, 15_000):
+        texts = rows + [(100 + i, "again " * filler) for i in range(20)]
+        got = {r.doc_id: r.score for r in backoff_lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+        score, _, _ = brute([t for i, t in texts if not held(i)], math.inf, math.inf)
+        for i, t in rows:
+            assert math.isclose(got[i], score(t), rel_tol=1e-9), (filler, i, got[i], score(t))

@@ -2,207 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.llm import textkit
 from voxspark.llm.shared import blocks_for, in_blocks, written
 
-ORDER = 3
 DISCOUNT = 0.75
-#: Words found OFTEN times and at least one in WORDS of all training tokens can be in contexts and arcs; an n-gram
-#: is an arc if it is at least one in ARCS. So there are at most WORDS such words and ARCS arcs of each order, whatever the corpus.
-WORDS, ARCS = 1 << 14, 1 << 18
-BITS = 15
-BLOCK_BYTES = 8 << 20
-MOST_GRAMS = 2_000_000
+#: Words found OFTEN times in training can be in contexts and arcs, and every n-gram of them that training has is an
+#: arc, whatever the corpus's size. Where WORDS or ARCS is set, a word or an n-gram must also be at least one in so
+#: many of all training tokens.
 OFTEN = 4
+WORDS: int | None = None
+ARCS: int | None = None
+BLOCK_BYTES = 8 << 20
 FOLDS = 10
 
 _U = np.uint64
+_EDGE = _U(0x5851F42D4C957F2D)
+#: What a block asks buckets about: words, n-grams of two and three words, and contexts of one and two words.
+WORD, PAIR, TRIPLE, AFTER_ONE, AFTER_TWO = range(5)
 
 
-def _find(table: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Places of keys in an ordered table, -1 where they aren't in it."""
-    if not len(table):
-        return np.full(len(key), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-    return np.where(table[at] == key, at, -1)
-
-
-def _merged(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(code, kind="stable")
-    code, count = code[order], count[order]
-    at = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-    return code[at], np.add.reduceat(count, at) if len(at) else count
-
-
-class Automaton:
-    """States are contexts: the empty one, and those of the last one or two words that have arcs.
-
-    An arc of a state carries the discounted log10 probability of a word there. On a word without an arc the
-    failure arc is taken, at the cost of the state's backoff weight, to the context without its first word. The
-    empty context knows every training token; unseen ones share the weight that tokens seen once have there.
-    Words are numbered by their place among the frequent ones; the number after the last stands for a text's
-    edge, that is the end token and the context in which a text starts; -1 is any other word.
-    """
-
-    def __init__(self, words: np.ndarray, sums: np.ndarray, ends: int, tokens: int, once: int):
-        self.words, self.ends, self.tokens = words, ends, tokens
-        self.unseen = (once + 0.5) / (tokens + 1)
-        self.counts = np.append(sums, ends)
-        self.arcs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.states: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        """Probability of tokens in the empty context by their training counts."""
-        return np.where(count > 0, (1 - self.unseen) * count / max(self.tokens, 1), self.unseen)
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return textkit.mix(a * _U(0x2545F4914F6CDD1D) + b)
 
-    def numbers(self, w: textkit.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of all texts, each with an edge before and after it; which are scored; each word's place."""
-        first = np.concatenate([[0], np.cumsum(np.bincount(w.row, minlength=w.rows) + 2)])
-        out = np.full(first[-1], len(self.words), np.int64)
-        place = np.arange(len(w.row)) + 2 * w.row + 1
-        out[place] = _find(self.words, w.hash)
-        scored = np.ones(len(out), bool)
-        scored[first[:-1]] = False
-        return out, scored, place
-
-    def codes(self, number: np.ndarray, scored: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place, n-gram) of the tokens that end an n-gram of frequent words of one text."""
-        on = scored & (number >= 0)
-        code = number.copy()
-        for j in range(1, order):
-            on[:j] = False
-            on[j:] &= number[:-j] >= 0
-            code[j:] |= np.maximum(number[:-j], 0) << (BITS * j)
-        for j in range(1, order - 1):  # the n-gram may begin with its text's first edge, not before it
-            on[j:] &= scored[:-j]
-        at = np.flatnonzero(on)
-        return at, code[at]
-
-    def add(self, code: np.ndarray, count: np.ndarray) -> None:
-        """The arcs of the next order, by their counts."""
-        order = len(self.arcs) + 2
-        by = np.argsort(code)
-        code, count = code[by], count[by].astype(float)
-        context = code >> BITS
-        if order == 2:
-            total, below = self.counts[context], self.root(self.counts[code & ((1 << BITS) - 1)])
-        else:
-            codes, counts = self.kept
-            total, below = counts[_find(codes, context)], 10.0 ** self.weigh(code & ((1 << BITS * (order - 1)) - 1), order - 1)
-        own = (count - DISCOUNT) / total
-        state, of = np.unique(context, return_inverse=True)
-        left, rest = 1 - np.bincount(of, own, len(state)), 1 - np.bincount(of, below, len(state))
-        self.arcs.append((code, np.log10(own)))
-        self.states.append((state, np.log10(np.maximum(left, 1e-9) / np.maximum(rest, 1e-9))))
-        self.kept = code, count
-
-    def weigh(self, code: np.ndarray, order: int) -> np.ndarray:
-        """log10 probability of the last word of n-grams of frequent words after the others."""
-        if order == 1:
-            return np.log10(self.root(self.counts[code]))
-        arcs, values = self.arcs[order - 2]
-        at = _find(arcs, code)
-        out = np.zeros(len(code))
-        out[at >= 0] = values[at[at >= 0]]
-        miss = np.flatnonzero(at < 0)
-        out[miss] = self.weigh(code[miss] & ((1 << BITS * (order - 1)) - 1), order - 1)
-        states, weights = self.states[order - 2]
-        state = _find(states, code[miss] >> BITS)
-        out[miss[state >= 0]] += weights[state[state >= 0]]
-        return out
-
-    def walk(self, number: np.ndarray, scored: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probability of each token: one walk from left to right.
-
-        The state before a token is the longest context that ends there, so all tokens of a slice take their
-        steps side by side. From each state that has no arc on its token the walk falls along failure arcs.
-        """
-        out, todo = np.where(scored, root, 0.0), scored.copy()
-        for order in range(len(self.arcs) + 1, 1, -1):
-            (arcs, values), (states, weights) = self.arcs[order - 2], self.states[order - 2]
-            at, code = self.codes(number, scored, order)
-            on = todo[at]
-            at, code = at[on], code[on]
-            arc = _find(arcs, code)
-            hit = arc >= 0
-            out[at[hit]] += values[arc[hit]] - root[at[hit]]
-            todo[at[hit]] = False
-            # A state that the walk falls from: its context ends before the token, whatever the token is.
-            at, code = self.contexts(number, scored, order)
-            on = todo[at]
-            at, code = at[on], code[on]
-            state = _find(states, code)
-            out[at[state >= 0]] += weights[state[state >= 0]]
-        return out
-
-    def contexts(self, number: np.ndarray, scored: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place, context) of the tokens after ``order - 1`` frequent words of their text."""
-        on, code = scored.copy(), np.zeros(len(number), np.int64)
-        for j in range(1, order):
-            on[:j] = False
-            on[j:] &= number[:-j] >= 0
-            code[j:] |= np.maximum(number[:-j], 0) << (BITS * (j - 1))
-        for j in range(1, order - 1):
-            on[j:] &= scored[:-j]
-        at = np.flatnonzero(on)
-        return at, code[at]
-
-
-def _counter(model: Broadcast, order: int):
-    """Counts of a partition's n-grams, added up before they are sent; in parts where they are too many to hold.
-
-    Of three words and more only n-grams are counted whose parts are arcs: no others can be.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, codes, counts, held = model.value, [], [], 0
-
-        def flush() -> tuple[np.ndarray, np.ndarray]:
-            return _merged(np.concatenate(codes), np.concatenate(counts))
-
-        def sent(code: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], ["code", "n"])
-
-        for b in batches:
-            for t in textkit.slices(b.column("text")):
-                number, scored, _ = m.numbers(textkit.words(t))
-                _, code = m.codes(number, scored, order)
-                if order > 2:
-                    low = m.arcs[-1][0]
-                    code = code[_find(low, code >> BITS) >= 0]
-                    code = code[_find(low, code & ((1 << BITS * (order - 1)) - 1)) >= 0]
-                code, count = np.unique(code, return_counts=True)
-                codes.append(code)
-                counts.append(count)
-                held += len(code)
-                if held > 2 * MOST_GRAMS:
-                    code, count = flush()
-                    codes, counts, held = [code], [count], len(code)
-                    if held > MOST_GRAMS:
-                        yield sent(code, count)
-                        codes, counts, held = [], [], 0
-        if held:
-            yield sent(*flush())
-
-    return run
-
-
-def grow(model: Automaton, train: DataFrame) -> Automaton:
-    """The arcs of two and more words, from the counts of all of ``train``, added up in Spark."""
-    context = train.sparkSession.sparkContext
-    for order in range(2, ORDER + 1):
-        counted = train.select("text").mapInArrow(_counter(context.broadcast(model), order), "code long, n long")
-        kept = counted.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") * ARCS >= model.tokens).toArrow()
-        model.add(kept.column("code").to_numpy(), kept.column("n").to_numpy())
-    return model
+def _runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of an ordered array."""
+    if not len(bucket):
+        return []
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True)]
 
 
 def word_sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
@@ -229,9 +63,177 @@ class BlockWords:
         self.value, self.bucket, self.where = value[order], bucket[order], rank[where]
         self.row = np.concatenate([w.row + t.first for t, w in zip(self.parts, self.words, strict=True)])
 
-    def runs(self) -> list[tuple[int, int, int]]:
-        edge = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(self.bucket) else np.zeros(0, np.int64)
-        return [(int(self.bucket[a]), int(a), int(b)) for a, b in zip(edge, np.append(edge[1:], len(self.bucket)), strict=True)]
+
+class Grams:
+    """Distinct n-grams of a block ordered by bucket, their training counts here, and for each token the one it ends."""
+
+    def __init__(self, code: np.ndarray, key: np.ndarray, train: np.ndarray, n: int):
+        """``code`` tells n-grams apart within the block and ``key`` everywhere; a token with code -1 ends none."""
+        at = np.flatnonzero(code >= 0)
+        _, first, where = np.unique(code[at], return_index=True, return_inverse=True)
+        value = key[at[first]]
+        order = np.lexsort((value, value % _U(n)))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.key, self.at = value[order], at[first][order]
+        self.of = np.full(len(code), -1, np.int64)
+        self.of[at] = rank[where]
+        self.count = np.bincount(self.of[at[train[at]]], minlength=len(order)).astype(np.int64)
+
+
+class Answers:
+    """What buckets told a block, in the order in which it asked."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        self.kind = self.table.column("kind").to_numpy()
+
+    def _rows(self, kind: int) -> pa.Table:
+        a, b = np.searchsorted(self.kind, [kind, kind + 1])
+        return self.table.slice(a, b - a)
+
+    def of(self, kind: int, dtype: type) -> np.ndarray:
+        return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for x in self._rows(kind).column("value").to_pylist())])
+
+    def first(self, kind: int) -> np.ndarray:
+        """Whether this block is the first that asked about an n-gram, so that one block counts it for its context."""
+        rows = self._rows(kind)
+        size = [len(x) // 8 for x in rows.column("value").to_pylist()]
+        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=m).astype(bool) for x, m in zip(rows.column("first").to_pylist(), size, strict=True)]
+        return np.concatenate([np.zeros(0, bool), *bits])
+
+
+class BlockGrams:
+    """The automaton around a block's texts.
+
+    States are contexts: the empty one, and those of the last one or two words that have arcs. An arc carries the
+    discounted probability of a word there. On a word without an arc the failure arc is taken, at the cost of the
+    state's backoff weight, to the context without its first word. The empty context knows every training token;
+    unseen ones share the weight that tokens seen once have there. A text has an edge before and after it: the
+    context in which it starts, and its end token.
+    """
+
+    def __init__(self, table: pa.Table, marks: pa.Table, n: int, often: int, least: int, ends: int, tokens: int, once: int):
+        self.block, self.told = BlockWords(table, n), Answers(marks)
+        self.n, self.least, self.tokens, self.unseen = n, least, tokens, (once + 0.5) / (tokens + 1)
+        block, rows = self.block, table.num_rows
+        # A word's place among the block's, the number after the last for an edge, -1 for any that is rare.
+        self.count, self.hash = np.append(self.told.of(WORD, np.int64), ends), np.append(block.value, _EDGE)
+        self.often = self.count >= often
+        self.often[-1] = True
+        size = np.bincount(block.row, minlength=rows) + 2
+        first = np.cumsum(size) - size
+        self.text = np.repeat(np.arange(rows), size)
+        self.token = np.full(int(size.sum()), len(block.value), np.int64)
+        self.token[np.arange(len(block.row)) + 2 * block.row + 1] = block.where
+        self.scored = np.ones(len(self.token), bool)
+        self.scored[first] = False
+        self.train = ~block.table.column("held_out").to_numpy()[self.text]
+        self.before = np.append(0, self.token[:-1])
+        self.after_often = self.scored & self.often[self.before]
+        on = self.after_often & self.often[self.token]
+        code = np.where(on, self.before * len(self.hash) + self.token, -1)
+        self.pairs = Grams(code, _joined(self.hash[self.before], self.hash[self.token]), self.train, n)
+
+    def take_pairs(self) -> None:
+        """Counts of the pairs in all of training, which of them are arcs, and the triples made of two arcs."""
+        p = self.pairs
+        p.total = self.told.of(PAIR, np.int64)
+        p.arc, p.context = p.total >= self.least, self.before[p.at]
+        self.pair = np.where((p.of >= 0) & np.append(p.arc, False)[p.of], p.of, -1)
+        # The pair that ends before each scored token, if it is an arc: the context of two words.
+        self.two = np.where(self.scored, np.append(-1, self.pair[:-1]), -1)
+        key = np.append(p.key, _U(0))
+        on = (self.pair >= 0) & (self.two >= 0)
+        self.triples = Grams(np.where(on, self.two * (len(p.key) + 1) + self.pair, -1), _joined(key[self.two], key[self.pair]), self.train, self.n)
+
+    def take_triples(self) -> None:
+        t = self.triples
+        t.total = self.told.of(TRIPLE, np.int64)
+        t.arc, t.context = t.total >= self.least, self.two[t.at]
+
+    def root(self, count: np.ndarray) -> np.ndarray:
+        """Probability of tokens in the empty context by their training counts."""
+        return np.where(count > 0, (1 - self.unseen) * count / max(self.tokens, 1), self.unseen)
+
+    def own(self, grams: Grams, total: np.ndarray) -> np.ndarray:
+        """Probability of each arc in its context of so many ``total``; 0 for what isn't an arc."""
+        return np.where(grams.arc, (grams.total - DISCOUNT) / np.maximum(total[grams.context], 1), 0.0)
+
+    def asked(self, contexts: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Distinct contexts ordered by bucket."""
+        contexts = np.unique(contexts)
+        return contexts[np.lexsort((key[contexts], key[contexts] % _U(self.n)))]
+
+    def ones(self) -> np.ndarray:
+        return self.asked(self.before[self.after_often], self.hash)
+
+    def twos(self) -> np.ndarray:
+        return self.asked(self.two[self.two >= 0], self.pairs.key)
+
+    def shares(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, probability, probability in the shorter context) of contexts' arcs that this block counts."""
+        if kind == AFTER_ONE:
+            grams, at, key = self.pairs, self.ones(), self.hash
+            own, below = self.own(grams, self.count), self.root(self.count[self.token[grams.at]])
+            on = grams.arc & self.told.first(PAIR)
+        else:
+            grams, at, key = self.triples, self.twos(), self.pairs.key
+            own, below = self.own(grams, self.pairs.total), self.own(self.pairs, self.count)[self.pair[grams.at]]
+            on = grams.arc & self.told.first(TRIPLE)
+        sums = (np.bincount(grams.context[on], x[on], len(key))[at] for x in (own, below))
+        return key[at], *sums
+
+    def score(self) -> np.ndarray:
+        """log10 probability of each text: all tokens take their steps along arcs and failure arcs side by side."""
+        p, t = self.pairs, self.triples
+        one, two = np.zeros(len(self.hash)), np.zeros(len(p.key) + 1)
+        one[self.ones()], two[self.twos()] = self.told.of(AFTER_ONE, np.float64), self.told.of(AFTER_TWO, np.float64)
+        out = np.log10(self.root(self.count))[self.token] + np.where(self.after_often, one[self.before], 0.0)
+        hit = self.pair >= 0
+        out[hit] = np.log10(self.own(p, self.count)[self.pair[hit]])
+        out += two[self.two]
+        hit = (t.of >= 0) & np.append(t.arc, False)[t.of]
+        out[hit] = np.log10(self.own(t, p.total)[t.of[hit]])
+        return np.bincount(self.text[self.scored], out[self.scored], self.block.table.num_rows)
+
+
+ASK = "block int, bucket int, kind int, keys binary, x binary, y binary"
+TOLD = "block int, bucket int, kind int, value binary, first binary"
+
+
+def _asks(block: int, n: int, *asks: tuple) -> pa.Table:
+    """Rows of ASK, one for each bucket and kind."""
+    got = [(b, kind, key[i:j].tobytes(), x[i:j].tobytes(), None if y is None else y[i:j].tobytes()) for kind, key, x, y in asks for b, i, j in _runs(key % _U(n))]
+    bucket, kind, keys, x, y = zip(*got, strict=True) if got else [()] * 5
+    return pa.table({
+        "block": pa.array([block] * len(got), pa.int32()),
+        "bucket": pa.array(bucket, pa.int32()),
+        "kind": pa.array(kind, pa.int32()),
+        "keys": pa.array(keys, pa.binary()),
+        "x": pa.array(x, pa.binary()),
+        "y": pa.array(y, pa.binary()),
+    })
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Rows of TOLD: counts over all blocks of n-grams of one bucket, or backoff weights of its contexts."""
+    table = table.sort_by("block")
+    flat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+    edges = np.cumsum([len(x) // 8 for x in table.column("keys").to_pylist()])[:-1]
+    value, first, where = np.unique(flat("keys", np.uint64), return_index=True, return_inverse=True)
+    if table.column("kind")[0].as_py() in (PAIR, TRIPLE):
+        total = np.zeros(len(value), np.int64)
+        np.add.at(total, where, flat("x", np.int64))
+        mark = np.zeros(len(where), bool)
+        mark[first] = True
+        marks = pa.array([np.packbits(m).tobytes() for m in np.split(mark, edges)], pa.binary())
+    else:
+        left, rest = (1 - np.bincount(where, flat(name, np.float64), len(value)) for name in ("x", "y"))
+        total = np.log10(np.maximum(left, 1e-9) / np.maximum(rest, 1e-9))
+        marks = pa.nulls(table.num_rows, pa.binary())
+    told = pa.array([x.tobytes() for x in np.split(total[where], edges)], pa.binary())
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "kind": table.column("kind"), "value": told, "first": marks})
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -246,14 +248,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     ``score`` is the log10 probability in an automaton of word n-grams up to three words, absolutely discounted,
     over the events that ``base_score`` has: each training token, and an unseen one. ``base_score`` is the unigram
-    with 0.1 added. Word counts stay distributed: each block of some MB of documents sends its distinct words to
-    their buckets, which answer with the corpus counts. What is broadcast, the automaton, has at most WORDS words
-    and ARCS arcs an order, some 12 MB, however large the corpus.
+    with 0.1 added. The model stays distributed and grows with the corpus: each block of some MB of documents sends
+    its distinct words, then its distinct n-grams of two words and of three, to their buckets, which answer with the
+    corpus counts; then its contexts with their arcs' shares, each arc counted by one block, and gets backoff weights
+    back. Nothing is broadcast; a word or n-gram that all documents hold is one entry a block.
     """
     n = blocks_for(docs, BLOCK_BYTES)
     held = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(FOLDS)) == 0
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"))
-    train = own.filter(~F.col("held_out"))
     # The salt keeps rows of one id, or without one, apart.
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 200), F.length("text")), F.lit(n)).cast("int"))
     blocks = in_blocks(dealt, n, "lm_blocks")
@@ -262,69 +264,64 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         block = BlockWords(table, n)
         train = ~block.table.column("held_out").to_numpy()
         count = np.bincount(block.where[train[block.row]], minlength=len(block.value)).astype(np.int64)
-        runs = block.runs()
-        number = table.column("block")[0].as_py()
-        return pa.table({
-            "block": pa.array([number] * len(runs), pa.int32()),
-            "bucket": pa.array([b for b, _, _ in runs], pa.int32()),
-            "keys": pa.array([block.value[i:j].tobytes() for _, i, j in runs], pa.binary()),
-            "counts": pa.array([count[i:j].tobytes() for _, i, j in runs], pa.binary()),
-        })
+        return _asks(table.column("block")[0].as_py(), n, (WORD, block.value, count, None))
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()]
+        counts = [np.frombuffer(x, np.int64) for x in table.column("x").to_pylist()]
         sums = word_sums(keys, counts)
-        value, at = np.unique(np.concatenate(keys), return_index=True)
-        total = np.concatenate(sums)[at]
-        zero, none, often = [0] * (len(keys) - 1), [None] * (len(keys) - 1), total >= OFTEN
+        _, at = np.unique(np.concatenate(keys), return_index=True)
+        total, zero = np.concatenate(sums)[at], [0] * (len(keys) - 1)
         return pa.table({
             "block": table.column("block"),
             "bucket": table.column("bucket"),
-            "sums": pa.array([x.tobytes() for x in sums], pa.binary()),
+            "kind": table.column("kind"),
+            "value": pa.array([x.tobytes() for x in sums], pa.binary()),
+            "first": pa.nulls(len(keys), pa.binary()),
             "tokens": pa.array([int(total.sum()), *zero], pa.int64()),
             "distinct": pa.array([int((total > 0).sum()), *zero], pa.int64()),
             "once": pa.array([int((total == 1).sum()), *zero], pa.int64()),
-            "words": pa.array([value[often].tobytes(), *none], pa.binary()),
-            "counts": pa.array([total[often].tobytes(), *none], pa.binary()),
         })
 
-    asked = blocks.groupBy("block").applyInArrow(ask, "block int, bucket int, keys binary, counts binary")
-    told = written(asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, sums binary, tokens long, distinct long, once long, words binary, counts binary"), "lm-words")
-    ends = train.count()
-    facts = told.agg(F.sum("tokens").alias("t"), F.sum("distinct").alias("v"), F.sum("once").alias("o")).first()
-    tokens, distinct = int(facts["t"] or 0) + ends, int(facts["v"] or 0) + (ends > 0)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for words, counts in zip(b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                word, count = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
-                on = count * WORDS >= tokens
-                yield pa.RecordBatch.from_arrays([pa.array(word[on].view(np.int64)), pa.array(count[on])], ["word", "n"])
-
-    top = told.filter("words IS NOT NULL").select("words", "counts").mapInArrow(frequent, "word long, n long").toArrow()
-    word, count = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(word)
-    model = grow(Automaton(word[order], count[order], ends, tokens, int(facts["o"] or 0)), train)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(table: pa.Table, sums: pa.Table) -> pa.Table:
-        block = BlockWords(table, n)
-        rows = block.table.num_rows
-        parts = [np.frombuffer(x, np.int64) for x in sums.sort_by("bucket").column("sums").to_pylist()]
-        count = np.concatenate([*parts, np.zeros(0, np.int64)])[block.where]
+    asked = blocks.groupBy("block").applyInArrow(ask, ASK)
+    counted = written(asked.groupBy("bucket").applyInArrow(answer, f"{TOLD}, tokens long, distinct long, once long"), "lm-words")
+    ends = own.filter(~F.col("held_out")).count()
+    facts = counted.agg(F.sum("tokens").alias("t"), F.sum("distinct").alias("v"), F.sum("once").alias("o")).first()
+    tokens, distinct, once = int(facts["t"] or 0) + ends, int(facts["v"] or 0) + (ends > 0), int(facts["o"] or 0)
+    often = max(OFTEN, -(-tokens // WORDS) if WORDS else 1)
+    least = max(1, -(-tokens // ARCS) if ARCS else 1)
+    told = counted.select("block", "bucket", "kind", "value", "first")
+
+    def grams(table: pa.Table, marks: pa.Table) -> BlockGrams:
+        return BlockGrams(table, marks, n, often, least, ends, tokens, once)
+
+    def pairs(table: pa.Table, marks: pa.Table) -> pa.Table:
+        g = grams(table, marks)
+        return _asks(table.column("block")[0].as_py(), n, (PAIR, g.pairs.key, g.pairs.count, None))
+
+    def triples(table: pa.Table, marks: pa.Table) -> pa.Table:
+        g = grams(table, marks)
+        g.take_pairs()
+        return _asks(table.column("block")[0].as_py(), n, (TRIPLE, g.triples.key, g.triples.count, None), (AFTER_ONE, *g.shares(AFTER_ONE)))
+
+    def contexts(table: pa.Table, marks: pa.Table) -> pa.Table:
+        g = grams(table, marks)
+        g.take_pairs()
+        g.take_triples()
+        return _asks(table.column("block")[0].as_py(), n, (AFTER_TWO, *g.shares(AFTER_TWO)))
+
+    for step, name in ((pairs, "lm-pairs"), (triples, "lm-triples"), (contexts, "lm-contexts")):
+        asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(step, ASK)
+        told = told.unionByName(written(asked.groupBy("bucket", "kind").applyInArrow(_answer, TOLD), name))
+
+    def score(table: pa.Table, marks: pa.Table) -> pa.Table:
+        g = grams(table, marks)
+        g.take_pairs()
+        g.take_triples()
+        block, rows, count = g.block, table.num_rows, g.count[g.block.where]
         n_tokens = np.bincount(block.row, minlength=rows) + 1
         known = np.bincount(block.row, count > 0, rows).astype(np.int64) + (ends > 0)
         base = np.bincount(block.row, np.log10(count + 0.1), rows) + np.log10(ends + 0.1) - n_tokens * np.log10(tokens + 0.1 * (distinct + 1))
-        scores, done, m = [], 0, shared.value
-        for w in block.words:
-            number, scored, place = m.numbers(w)
-            root = np.full(len(number), np.log10(m.root(np.array([ends])))[0])
-            root[place] = np.log10(m.root(count[done : done + len(w.row)]))
-            done += len(w.row)
-            # each text has an edge before its first token
-            text = np.cumsum(~scored) - 1
-            scores.append(np.bincount(text, m.walk(number, scored, root), w.rows))
         return pa.table({
             "doc_id": block.table.column("doc_id"),
             "held_out": block.table.column("held_out"),
@@ -332,7 +329,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             "n_known": known,
             "train_tokens": np.full(rows, tokens, np.int64),
             "base_score": base,
-            "score": np.concatenate(scores),
+            "score": g.score(),
         })
 
-    return blocks.groupBy("block").cogroup(told.select("block", "bucket", "sums").groupBy("block")).applyInArrow(score, SCHEMA)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, SCHEMA)
