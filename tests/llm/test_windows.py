@@ -159,3 +159,29 @@ def test_fill_takes_the_seed_s_neighbours_first():
 
     got = packing.fill([6, 5, 4, 3], Fixed(), 8)
     assert got == [(0, 0, 6, 0, 0, 0), (3, 0, 2, 0, 6, 0), (3, 2, 1, 1, 0, 3), (1, 0, 5, 1, 1, 3), (2, 0, 2, 1, 6, 3), (2, 2, 2, 2, 0, 2)]
+
+
+def test_neighbours_meet_in_a_shard(spark):
+    """Of the near copies that an index of all documents ranks first, most are in the shard of their seed."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+
+    rng = random.Random(3)
+    common, texts = [f"w{i}" for i in range(400)], []
+    for group in range(150):
+        base = [*rng.choices(common, k=60), *[f"topic{group}"] * 3]
+        texts += [" ".join(base if not k else [w if rng.random() > 0.05 or w[0] == "t" else rng.choice(common) for w in base]) for k in range(4)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, t) for t in texts[:200]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), window=128, shard_bytes=12_000).collect()
+    assert sum(r.start == 0 for r in got) == len(rows)
+    shard = {r.doc_id: r.shard for r in got if r.doc_id is not None}
+    assert len(set(shard.values())) > 10 and len({r.shard for r in got if r.doc_id is None}) > 5
+    words = [(i, w) for i, t in enumerate(texts) for w in t.split()]
+    index = packing.Index(np.array([i for i, _ in words]), np.array([hash(w) & (1 << 40) - 1 for _, w in words], np.uint64), len(texts))
+    near = [(i, index.neighbours(i, np.arange(len(texts)) == i)[0]) for i in range(len(texts))]
+    recall = sum(shard[i] == shard[j] for i, j in near) / len(near)
+    print("neighbour recall", recall)
+    assert recall > 0.8

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.llm import textkit
-from voxspark.llm.shared import blocks_for
+from voxspark.llm.shared import blocks_for, in_blocks, written
 
 WINDOW = 1024
 SHARD_BYTES = 2 << 20
+#: Documents go to shards by cells of retrieval keys, so many for each shard.
+CELLS = 16
 K1, B = 1.2, 0.75
 MOST_CACHED = 800_000
 
@@ -142,25 +144,44 @@ def _cuts(t: textkit.Texts) -> tuple[np.ndarray, np.ndarray]:
     blank |= (b >= 0x80) & (c >= 0x80) & ((wide == 0xE1) | (wide == 0xE2) | (wide == 0xE3))
     cut = np.zeros(n, bool)
     cut[at[~blank & _AFTER[d[at + 1]]]] = True
+    cut[t.bounds[1:][t.bounds[1:] > t.bounds[:-1]] - 1] = False  # what follows it is another text
     cut[first] = True
     start = np.flatnonzero(cut)
     return start, np.searchsorted(t.bounds, start, "right") - 1
 
 
+def _terms(t: textkit.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each piece without its blank, as ``Ids.of`` gives them."""
+    start, row = _cuts(t)
+    end = np.minimum(np.append(start[1:], len(t.data)), t.bounds[row + 1])[: len(start)]
+    return row, textkit.span_hash(textkit.prefix_hash(t.data), start + (t.data[start] == 32), end)
+
+
+def _counted(row: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, count) of each document's distinct terms, ordered."""
+    pair = np.sort(term * n + row)
+    at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else pair
+    count, pair = np.diff(np.append(at, len(pair))), pair[at]
+    return pair // n, pair % n, count
+
+
+def _idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.where(df < 2, 0.0, np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0))
+
+
 class Index:
-    """A BM25 inverted index of one shard's documents; a term is what stands between blanks. Terms found in one document, or in most, weigh nothing."""
-
-    def __init__(self, row: np.ndarray, value: np.ndarray, n: int):
-        _, term = np.unique(value, return_inverse=True)
-        pair = np.sort(term * n + row)
-        at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else pair
-        count, pair = np.diff(np.append(at, len(pair))), pair[at]
-        term, doc = pair // n, pair % n
-        df = np.bincount(term)
-        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0)
-        idf[df < 2] = 0.0
+    """A BM25 inverted index of one shard's documents; a term is what stands between blanks. Terms found in one document, or in most, weigh nothing.
+
+    ``corpus`` has each piece's document frequency, and the documents and mean length, of all shards.
+    """
+
+    def __init__(self, row: np.ndarray, value: np.ndarray, n: int, corpus: tuple[np.ndarray, int, float] | None = None):
+        _, some, term = np.unique(value, return_index=True, return_inverse=True)
+        term, doc, count = _counted(row, term, n)
         length = np.bincount(row, minlength=n)
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1.0))
+        df, total, mean = (np.bincount(term), n, length.mean()) if corpus is None else (corpus[0][some], *corpus[1:])
+        idf = _idf(df, total)
+        norm = K1 * (1 - B + B * length / max(mean, 1.0))
         on = idf[term] > 0
         term, doc, count = term[on], doc[on], count[on]
         self.n, self.doc = n, doc
@@ -223,14 +244,90 @@ def _ids(path: str) -> Ids:
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Pieces of all documents, each token id in exactly one, packed in sequences of at most ``window`` ids.
 
-    A document's ids are those of its text and then id 0; null and empty texts are that id alone. Documents are
-    dealt by hash to shards of about ``shard_bytes``: as many shards as the input needs, each a task's work of
-    bounded size with an inverted index and document frequencies of its own. Only a shard's last sequence has
-    padding. Repeated rows and null ids are packed as documents of their own; an empty table gives no rows.
+    A document's ids are those of its text and then id 0; null and empty texts are that id alone. Document
+    frequencies and the mean length are those of the whole table: blocks of documents send their distinct terms to
+    hash buckets and get the counts back. A document's retrieval key is its term that weighs most. Keys go to cells,
+    and cells to shards of about ``shard_bytes``, so that documents of one key meet; a cell that fills more than half
+    a shard has shards of its own, among which its documents are dealt by a salt. Shards grow in number, each a
+    task's work of bounded size. Only a shard's last sequence has padding. Repeated rows and null ids are packed as
+    documents of their own; an empty table gives no rows. The driver gets the bytes of each cell.
     """
-    shards = blocks_for(docs, shard_bytes)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).cast("int"))
+    n_blocks = blocks_for(docs, 4 * shard_bytes)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    blocks = in_blocks(own.withColumn("block", F.pmod("salt", F.lit(n_blocks)).cast("int")), n_blocks, "bm25_blocks")
+
+    def distinct(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """Slices with their terms; the block's distinct terms ordered by bucket, their frequency, and each piece's."""
+        parts = [(t, *_terms(t)) for t in textkit.slices(table.column("text"))]
+        value, where = np.unique(np.concatenate([term for _, _, term in parts]), return_inverse=True)
+        order = np.lexsort((value, value % _U(n_blocks)))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        where = rank[where]
+        row = np.concatenate([row + t.first for t, row, _ in parts])
+        return parts, value[order], np.bincount(_counted(row, where, table.num_rows)[0], minlength=len(order)), where
+
+    def ask(table: pa.Table) -> pa.Table:
+        _, value, df, where = distinct(table)
+        bucket = (value % _U(n_blocks)).astype(np.int64)
+        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
+        runs = list(zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist(), strict=True)) if len(bucket) else []
+        return pa.table({
+            "block": pa.array([table.column("block")[0].as_py()] * len(runs), pa.int32()),
+            "bucket": pa.array([int(bucket[i]) for i, _ in runs], pa.int32()),
+            "keys": pa.array([value[i:j].tobytes() for i, j in runs], pa.binary()),
+            "df": pa.array([df[i:j].astype(np.int64).tobytes() for i, j in runs], pa.binary()),
+            "pieces": pa.array([len(where) * (k == 0) for k in range(len(runs))], pa.int64()),
+        })
+
+    def answer(table: pa.Table) -> pa.Table:
+        flat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+        value, where = np.unique(flat("keys", np.uint64), return_inverse=True)
+        total = np.zeros(len(value), np.int64)
+        np.add.at(total, where, flat("df", np.int64))
+        edges = np.cumsum([len(x) // 8 for x in table.column("keys").to_pylist()])[:-1]
+        sums = pa.array([x.astype(np.uint32).tobytes() for x in np.split(total[where], edges)], pa.binary())
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "df": sums, "pieces": table.column("pieces")})
+
+    asked = blocks.groupBy("block").applyInArrow(ask, "block int, bucket int, keys binary, df binary, pieces long")
+    told = written(asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, df binary, pieces long"), "bm25-terms")
+    total = blocks.count()
+    mean = (told.agg(F.sum("pieces").alias("p")).first()["p"] or 0) / max(total, 1)
+
+    def keyed(table: pa.Table, marks: pa.Table) -> pa.Table:
+        parts, value, _, where = distinct(table)
+        sums = marks.sort_by("bucket").column("df").to_pylist()
+        corpus = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in sums)])
+        salt = table.column("salt").to_numpy()
+        key, idf, frequencies, done = salt.copy(), _idf(corpus.astype(np.int64), total), [], 0
+        for t, row, _ in parts:
+            term = where[done : done + len(row)]
+            done += len(row)
+            length = np.bincount(row, minlength=t.rows)
+            raw, upto = corpus[term].tobytes(), 4 * np.concatenate([[0], np.cumsum(length)])
+            frequencies += [raw[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+            term, doc, count = _counted(row, term, t.rows)
+            weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / max(mean, 1.0))[doc])
+            order = np.lexsort((value[term], weight, doc))
+            last = order[np.append(doc[order][1:] != doc[order][:-1], True)] if len(order) else order
+            last = last[weight[last] > 0]
+            key[t.first + doc[last]] = value[term[last]].view(np.int64)
+        return pa.table({"doc_id": table.column("doc_id"), "text": table.column("text"), "salt": salt, "df": pa.array(frequencies, pa.binary()), "key": key})
+
+    found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(keyed, "doc_id long, text string, salt long, df binary, key long")
+    cells = CELLS * blocks_for(docs, shard_bytes)
+    found = written(found.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")), "bm25-keys")
+    size = np.zeros(cells, np.int64)
+    for r in found.groupBy("cell").agg(F.sum(F.octet_length("text") + F.lit(64)).alias("b")).toLocalIterator():
+        size[r["cell"]] = r["b"]
+    hot = size > shard_bytes // 2
+    first = (np.cumsum(np.where(hot, 0, size)) - np.where(hot, 0, size)) // shard_bytes
+    many = np.where(hot, -(-size // shard_bytes), 1)
+    first[hot] = int(first[~hot].max(initial=-1)) + 1 + np.cumsum(many[hot]) - many[hot]
+    places = docs.sparkSession.createDataFrame(pa.table({"cell": np.arange(cells, dtype=np.int32), "first": first, "many": many}))
+    shard = (F.col("first") + F.pmod(F.xxhash64("salt"), F.col("many"))).cast("int")
+    dealt = found.join(F.broadcast(places), "cell").select("doc_id", "text", "df", shard.alias("shard"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -238,7 +335,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes
         (t,) = textkit.slices(table.column("text"), 1 << 62, 1 << 62)
         ids, upto, row, term = encoder.of(t)
         flat, first = np.insert(ids, upto[1:], 0).astype("<u4"), upto + np.arange(n + 1)
-        pieces = np.array(fill(np.diff(first), Index(row, term, n), window))
+        df = np.frombuffer(b"".join(table.column("df").to_pylist()), np.uint32).astype(np.int64)
+        pieces = np.array(fill(np.diff(first), Index(row, term, n, (df, total, mean)), window))
         doc, start, length, sequence, offset, seed = pieces.T
         at = first[doc] + start
         raw = memoryview(flat.tobytes())
