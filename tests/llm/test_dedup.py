@@ -137,3 +137,18 @@ def test_sharding(spark, docs, texts):
     assert sharding.shard_rows(docs.limit(0)).count() == 0
     doubled = sharding.shard_rows(docs.union(docs)).collect()
     assert len({(r.shard, r.slot) for r in doubled}) == 2 * len(texts)
+
+
+def test_the_end_of_a_text_is_a_chunk():
+    import random
+
+    import zstandard
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlucm", k=rng.randint(2, 9))) for _ in range(700)]
+    prose = " ".join(rng.choices(words, k=3000)).encode()[:8192]
+    noise = bytes(rng.randrange(33, 127) for _ in range(4000))
+    compressor = zstandard.ZstdCompressor(level=quality.LEVEL)
+    assert quality.compression(prose, compressor)[1] == 0 and quality.compression(prose + prose[:3000], compressor)[1] == 0
+    assert quality.compression(prose + noise, compressor)[1] == 4000 / 12192 > quality.CHUNK_SHARE
+    assert quality.compression(noise[:3000], compressor)[1] == 0

@@ -27,7 +27,8 @@ WHOLE_LIMITS = (
     (16384, 0.37, 0.72),
     (65536, 0.35, 0.72),
 )
-#: Fixed values. The same for chunks of CHUNK_BYTES, and the share of a text's chunks that may lie outside.
+#: Fixed values. The same for chunks of CHUNK_BYTES, and the share of a text's bytes whose chunks may lie outside. The
+#: shorter chunk at a text's end has the limits of a text of its length.
 CHUNK_BYTES = 4096
 CHUNK_LIMITS = (0.415, 0.78)
 CHUNK_SHARE = 0.30
@@ -78,15 +79,22 @@ def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def compression(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole text, and the share of its full chunks outside ``CHUNK_LIMITS``."""
+    """Ratio of the whole text, and the share of its bytes in chunks outside their limits.
+
+    The chunk at the end is what is left, judged as a text of its length is; so a text of less than a chunk, which
+    is its own only chunk, has no share besides its whole ratio's verdict.
+    """
     if not raw:
         return 0.0, 0.0
     whole = len(compressor.compress(raw)) / len(raw)
-    chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-    if not chunks:
+    if len(raw) < CHUNK_BYTES:
         return whole, 0.0
-    ratios = [len(compressor.compress(c)) / CHUNK_BYTES for c in chunks]
-    return whole, sum(not CHUNK_LIMITS[0] <= r <= CHUNK_LIMITS[1] for r in ratios) / len(ratios)
+    outside = 0
+    for i in range(0, len(raw), CHUNK_BYTES):
+        chunk = raw[i : i + CHUNK_BYTES]
+        least, most = CHUNK_LIMITS if len(chunk) == CHUNK_BYTES else next(b[1:] for b in reversed(WHOLE_LIMITS) if b[0] <= len(chunk))
+        outside += len(chunk) * (not least <= len(compressor.compress(chunk)) / len(chunk) <= most)
+    return whole, outside / len(raw)
 
 
 def verdict(n_bytes: np.ndarray, ratio: np.ndarray, outside: np.ndarray) -> np.ndarray:
