@@ -1,4 +1,4 @@
-"""Language-model scores: a weighted backoff automaton of word n-grams, and an additive unigram beside it."""
+"""Language-model scores: a weighted backoff automaton of smoothed word n-grams, and an additive unigram beside it."""
 
 from __future__ import annotations
 
@@ -8,235 +8,207 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.llm import textkit
-from voxspark.llm.shared import blocks_for, in_blocks, written
-
-DISCOUNT = 0.75
-#: Words found OFTEN times in training can be in contexts and arcs, and every n-gram of them that training has is an
-#: arc, whatever the corpus's size. Where WORDS or ARCS is set, a word or an n-gram must also be at least one in so
-#: many of all training tokens.
-OFTEN = 4
-WORDS: int | None = None
-ARCS: int | None = None
+from voxspark.llm.shared import blocks_for, bucket_of, in_blocks, runs, written
+
+ORDER = 3
+#: Pseudo-counts that a context of one word, of two words gives to its failure arc.
+PRIOR = (6.0, 3.0)
 BLOCK_BYTES = 8 << 20
 FOLDS = 10
+#: Parts of a block's tokens that are walked side by side.
+LANES = 1024
 
 _U = np.uint64
 _EDGE = _U(0x5851F42D4C957F2D)
-#: What a block asks buckets about: words, n-grams of two and three words, and contexts of one and two words.
-WORD, PAIR, TRIPLE, AFTER_ONE, AFTER_TWO = range(5)
-
-
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return textkit.mix(a * _U(0x2545F4914F6CDD1D) + b)
+#: Bytes of a key that buckets are sent: a word's hash is whole, an n-gram's is told apart within its bucket.
+KEY_BYTES = (8, 5, 5)
 
 
-def _runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of the runs of an ordered array."""
-    if not len(bucket):
-        return []
-    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True)]
+def _narrow(x: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned integers that hold them; their width is the bytes for each."""
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
 
 
-def word_sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
-    """For each block's words of one bucket their counts over all blocks."""
-    flat = np.concatenate(keys)
-    value, where = np.unique(flat, return_inverse=True)
-    total = np.zeros(len(value), np.int64)
-    np.add.at(total, where, np.concatenate(counts))
-    return np.split(total[where], np.cumsum([len(k) for k in keys])[:-1])
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-class BlockWords:
-    """The words of a block's documents: distinct hashes ordered by bucket, and each text's words among them."""
+def _cut_keys(keys: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-    def __init__(self, table: pa.Table, n: int):
-        self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.parts = list(textkit.slices(self.table.column("text")))
-        self.words = [textkit.words(t) for t in self.parts]
-        value, where = np.unique(np.concatenate([w.hash for w in self.words]), return_inverse=True)
-        bucket = value % _U(n)
-        order = np.lexsort((value, bucket))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.value, self.bucket, self.where = value[order], bucket[order], rank[where]
-        self.row = np.concatenate([w.row + t.first for t, w in zip(self.parts, self.words, strict=True)])
 
+def _keys(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view(np.uint64)[:, 0]
 
-class Grams:
-    """Distinct n-grams of a block ordered by bucket, their training counts here, and for each token the one it ends."""
 
-    def __init__(self, code: np.ndarray, key: np.ndarray, train: np.ndarray, n: int):
-        """``code`` tells n-grams apart within the block and ``key`` everywhere; a token with code -1 ends none."""
-        at = np.flatnonzero(code >= 0)
-        _, first, where = np.unique(code[at], return_index=True, return_inverse=True)
-        value = key[at[first]]
-        order = np.lexsort((value, value % _U(n)))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.key, self.at = value[order], at[first][order]
-        self.of = np.full(len(code), -1, np.int64)
-        self.of[at] = rank[where]
-        self.count = np.bincount(self.of[at[train[at]]], minlength=len(order)).astype(np.int64)
+class Tokens:
+    """A block's texts back to back, each between two edges: the context in which it starts, and its end token.
 
-
-class Answers:
-    """What buckets told a block, in the order in which it asked."""
+    ``grams[k]`` has the distinct n-grams of k + 1 tokens: their ordered keys, the place where each first ends, and for
+    each token the one that it ends, -1 where a text is too short before it.
+    """
 
     def __init__(self, table: pa.Table):
-        self.table = table.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        self.kind = self.table.column("kind").to_numpy()
-
-    def _rows(self, kind: int) -> pa.Table:
-        a, b = np.searchsorted(self.kind, [kind, kind + 1])
-        return self.table.slice(a, b - a)
-
-    def of(self, kind: int, dtype: type) -> np.ndarray:
-        return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for x in self._rows(kind).column("value").to_pylist())])
-
-    def first(self, kind: int) -> np.ndarray:
-        """Whether this block is the first that asked about an n-gram, so that one block counts it for its context."""
-        rows = self._rows(kind)
-        size = [len(x) // 8 for x in rows.column("value").to_pylist()]
-        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=m).astype(bool) for x, m in zip(rows.column("first").to_pylist(), size, strict=True)]
-        return np.concatenate([np.zeros(0, bool), *bits])
-
+        self.table, rows = table, table.num_rows
+        parts = [(t.first, textkit.words(t)) for t in textkit.slices(table.column("text"))]
+        row = np.concatenate([np.zeros(0, np.int64), *(w.row + first for first, w in parts)])
+        size = np.bincount(row, minlength=rows) + 2
+        self.text = np.repeat(np.arange(rows), size)
+        self.first = np.cumsum(size) - size
+        self.hash = np.full(len(self.text), _EDGE)
+        self.hash[np.arange(len(row)) + 2 * row + 1] = np.concatenate([np.zeros(0, np.uint64), *(w.hash for _, w in parts)])
+        place = np.arange(len(self.text)) - self.first[self.text]
+        self.scored = place > 0
+        self.train = ~table.column("held_out").to_numpy(zero_copy_only=False)[self.text]
+        self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        key = self.hash
+        for k in range(ORDER):
+            if k:
+                with np.errstate(over="ignore"):
+                    key = textkit.mix(np.append(_U(0), key[:-1]) * _U(0x2545F4914F6CDD1D) + self.hash)
+            at = np.flatnonzero(place >= max(k, 1))
+            value, first, where = np.unique(key[at], return_index=True, return_inverse=True)
+            of = np.full(len(key), -1, np.int64)
+            of[at] = where
+            self.grams.append((value, at[first], of))
+
+    def counts(self, k: int) -> np.ndarray:
+        """How often the training texts of this block have each n-gram."""
+        value, _, of = self.grams[k]
+        return np.bincount(of[(of >= 0) & self.train], minlength=len(value))
+
+
+class Automaton:
+    """The part of the backoff automaton that a block's texts can reach.
+
+    States are the empty context (0), then the contexts of one word, then those of two words, that training has. An
+    arc carries the log10 probability of its word and leads to the longest context that the text then has. Where a
+    state has no arc for a word, its failure arc leads to the context without its first word, at a weight. Contexts
+    are smoothed by a prior of ``PRIOR`` pseudo-counts, dealt as the shorter context has it: arcs and failure arcs of
+    a state add up to one. The empty context knows every word of training; unseen words share the mass that words
+    found once have there, each getting the share of one of as many types as Chao's estimate says are unseen.
+    """
 
-class BlockGrams:
-    """The automaton around a block's texts.
+    def __init__(self, tokens: Tokens, total: list[np.ndarray], facts: dict[str, int]):
+        (words, _, word_of), n = tokens.grams[0], max(facts["tokens"], 1)
+        unseen = (facts["once"] + 0.5) / (facts["tokens"] + 1) if facts["tokens"] else 1.0
+        types = max(1.0, facts["once"] ** 2 / (2 * facts["twice"] + 1)) if facts["tokens"] else 1.0
+        chance = [np.where(total[0] > 0, (1 - unseen) * total[0] / n, unseen / types)]
+        self.width = len(words)
+        edge = int(np.searchsorted(words, _EDGE))
+        self.symbol = np.where(tokens.scored, word_of, edge)
+        # A state for each n-gram that training has; n-grams that end a text lead nowhere and do no harm.
+        state, fail, weight, below = [], [np.zeros(1, np.int64)], [np.zeros(1)], 1
+        keys, logs, targets = [], [], []
+        for k in range(ORDER):
+            value, at, of = tokens.grams[k]
+            on = total[k] > 0
+            if k:
+                before = tokens.grams[k - 1][2][at - 1] if k > 1 else self.symbol[at - 1]
+                shorter = tokens.grams[k - 1][2][at]
+                held, mass = total[k - 1][before], PRIOR[k - 1]
+                p = (total[k] + mass * chance[k - 1][shorter]) / (held + mass)
+                chance.append(np.where(on, p, 0.0))
+                keys.append(state[k - 1][before[on]] * self.width + self.symbol[at[on]])
+                logs.append(np.log10(p[on]))
+            if k < ORDER - 1:
+                own = np.zeros(len(value), np.int64)
+                own[on] = below + np.arange(int(on.sum()))
+                below += int(on.sum())
+                state.append(own)
+                fail.append(state[k - 1][shorter[on]] if k else np.zeros(int(on.sum()), np.int64))
+                weight.append(np.log10(PRIOR[k] / (total[k][on] + PRIOR[k])))
+                if k:
+                    targets.append(own[on])
+            else:
+                targets.append(state[k - 1][shorter[on]] if k else np.zeros(0, np.int64))
+        self.fail, self.weight = np.concatenate(fail), np.concatenate(weight)
+        self.root_log, self.root_to = np.log10(chance[0]), state[0] if state else np.zeros(len(words), np.int64)
+        self.start = int(self.root_to[edge])
+        key = np.concatenate([np.zeros(0, np.int64), *keys])
+        order = np.argsort(key)
+        self.key = np.append(key[order], np.iinfo(np.int64).max)
+        self.log = np.append(np.concatenate([np.zeros(0), *logs])[order], 0.0)
+        self.to = np.append(np.concatenate([np.zeros(0, np.int64), *targets])[order], 0)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each state goes on its symbol, and the log10 probability of that: failure arcs until an arc is there."""
+        log, to, state = np.zeros(len(state)), np.zeros(len(state), np.int64), state.copy()
+        todo = np.arange(len(state))
+        while len(todo):
+            s, w = state[todo], symbol[todo]
+            key = s * self.width + w
+            place = np.searchsorted(self.key, key)
+            hit, root = self.key[place] == key, s == 0
+            log[todo] += np.where(root, self.root_log[w], np.where(hit, self.log[place], self.weight[s]))
+            to[todo] = np.where(root, self.root_to[w], self.to[place])
+            state[todo] = self.fail[s]
+            todo = todo[~(hit | root)]
+        return to, log
+
+    def walk(self, tokens: Tokens) -> np.ndarray:
+        """log10 probability of each text, in one traversal from left to right that carries the state.
+
+        The block is walked in LANES parts side by side. A part begins ORDER - 1 tokens early, from the empty context:
+        a state is the longest context that training has of the last ORDER - 1 tokens, so it is the true one by then.
+        """
+        n = len(self.symbol)
+        length, early = -(-n // LANES), ORDER - 1
+        begin = np.arange(0, n, length)
+        log, state = np.zeros(n), np.zeros(len(begin), np.int64)
+        for j in range(-early, length):
+            at = begin + j
+            on = np.flatnonzero((at >= 0) & (at < n))
+            at = at[on]
+            to, got = self.step(state[on], self.symbol[at])
+            first = ~tokens.scored[at]
+            state[on] = np.where(first, self.start, to)
+            if j >= 0:
+                log[at] = np.where(first, 0.0, got)
+        return np.bincount(tokens.text, log, tokens.table.num_rows)
+
+
+_PARTS = ", ".join(f"k{k} binary, c{k} binary" for k in range(ORDER))
+ASK = f"block long, bucket int, {_PARTS}"
+TOLD = f"block long, bucket int, {', '.join(f'n{k} int, t{k} binary' for k in range(ORDER))}, tokens long, seen long, once long, twice long"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    States are contexts: the empty one, and those of the last one or two words that have arcs. An arc carries the
-    discounted probability of a word there. On a word without an arc the failure arc is taken, at the cost of the
-    state's backoff weight, to the context without its first word. The empty context knows every training token;
-    unseen ones share the weight that tokens seen once have there. A text has an edge before and after it: the
-    context in which it starts, and its end token.
-    """
 
-    def __init__(self, table: pa.Table, marks: pa.Table, n: int, often: int, least: int, ends: int, tokens: int, once: int):
-        self.block, self.told = BlockWords(table, n), Answers(marks)
-        self.n, self.least, self.tokens, self.unseen = n, least, tokens, (once + 0.5) / (tokens + 1)
-        block, rows = self.block, table.num_rows
-        # A word's place among the block's, the number after the last for an edge, -1 for any that is rare.
-        self.count, self.hash = np.append(self.told.of(WORD, np.int64), ends), np.append(block.value, _EDGE)
-        self.often = self.count >= often
-        self.often[-1] = True
-        size = np.bincount(block.row, minlength=rows) + 2
-        first = np.cumsum(size) - size
-        self.text = np.repeat(np.arange(rows), size)
-        self.token = np.full(int(size.sum()), len(block.value), np.int64)
-        self.token[np.arange(len(block.row)) + 2 * block.row + 1] = block.where
-        self.scored = np.ones(len(self.token), bool)
-        self.scored[first] = False
-        self.train = ~block.table.column("held_out").to_numpy()[self.text]
-        self.before = np.append(0, self.token[:-1])
-        self.after_often = self.scored & self.often[self.before]
-        on = self.after_often & self.often[self.token]
-        code = np.where(on, self.before * len(self.hash) + self.token, -1)
-        self.pairs = Grams(code, _joined(self.hash[self.before], self.hash[self.token]), self.train, n)
-
-    def take_pairs(self) -> None:
-        """Counts of the pairs in all of training, which of them are arcs, and the triples made of two arcs."""
-        p = self.pairs
-        p.total = self.told.of(PAIR, np.int64)
-        p.arc, p.context = p.total >= self.least, self.before[p.at]
-        self.pair = np.where((p.of >= 0) & np.append(p.arc, False)[p.of], p.of, -1)
-        # The pair that ends before each scored token, if it is an arc: the context of two words.
-        self.two = np.where(self.scored, np.append(-1, self.pair[:-1]), -1)
-        key = np.append(p.key, _U(0))
-        on = (self.pair >= 0) & (self.two >= 0)
-        self.triples = Grams(np.where(on, self.two * (len(p.key) + 1) + self.pair, -1), _joined(key[self.two], key[self.pair]), self.train, self.n)
-
-    def take_triples(self) -> None:
-        t = self.triples
-        t.total = self.told.of(TRIPLE, np.int64)
-        t.arc, t.context = t.total >= self.least, self.two[t.at]
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        """Probability of tokens in the empty context by their training counts."""
-        return np.where(count > 0, (1 - self.unseen) * count / max(self.tokens, 1), self.unseen)
-
-    def own(self, grams: Grams, total: np.ndarray) -> np.ndarray:
-        """Probability of each arc in its context of so many ``total``; 0 for what isn't an arc."""
-        return np.where(grams.arc, (grams.total - DISCOUNT) / np.maximum(total[grams.context], 1), 0.0)
-
-    def asked(self, contexts: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Distinct contexts ordered by bucket."""
-        contexts = np.unique(contexts)
-        return contexts[np.lexsort((key[contexts], key[contexts] % _U(self.n)))]
-
-    def ones(self) -> np.ndarray:
-        return self.asked(self.before[self.after_often], self.hash)
-
-    def twos(self) -> np.ndarray:
-        return self.asked(self.two[self.two >= 0], self.pairs.key)
-
-    def shares(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, probability, probability in the shorter context) of contexts' arcs that this block counts."""
-        if kind == AFTER_ONE:
-            grams, at, key = self.pairs, self.ones(), self.hash
-            own, below = self.own(grams, self.count), self.root(self.count[self.token[grams.at]])
-            on = grams.arc & self.told.first(PAIR)
-        else:
-            grams, at, key = self.triples, self.twos(), self.pairs.key
-            own, below = self.own(grams, self.pairs.total), self.own(self.pairs, self.count)[self.pair[grams.at]]
-            on = grams.arc & self.told.first(TRIPLE)
-        sums = (np.bincount(grams.context[on], x[on], len(key))[at] for x in (own, below))
-        return key[at], *sums
-
-    def score(self) -> np.ndarray:
-        """log10 probability of each text: all tokens take their steps along arcs and failure arcs side by side."""
-        p, t = self.pairs, self.triples
-        one, two = np.zeros(len(self.hash)), np.zeros(len(p.key) + 1)
-        one[self.ones()], two[self.twos()] = self.told.of(AFTER_ONE, np.float64), self.told.of(AFTER_TWO, np.float64)
-        out = np.log10(self.root(self.count))[self.token] + np.where(self.after_often, one[self.before], 0.0)
-        hit = self.pair >= 0
-        out[hit] = np.log10(self.own(p, self.count)[self.pair[hit]])
-        out += two[self.two]
-        hit = (t.of >= 0) & np.append(t.arc, False)[t.of]
-        out[hit] = np.log10(self.own(t, p.total)[t.of[hit]])
-        return np.bincount(self.text[self.scored], out[self.scored], self.block.table.num_rows)
-
-
-ASK = "block int, bucket int, kind int, keys binary, x binary, y binary"
-TOLD = "block int, bucket int, kind int, value binary, first binary"
-
-
-def _asks(block: int, n: int, *asks: tuple) -> pa.Table:
-    """Rows of ASK, one for each bucket and kind."""
-    got = [(b, kind, key[i:j].tobytes(), x[i:j].tobytes(), None if y is None else y[i:j].tobytes()) for kind, key, x, y in asks for b, i, j in _runs(key % _U(n))]
-    bucket, kind, keys, x, y = zip(*got, strict=True) if got else [()] * 5
+def _ask(table: pa.Table, n: int) -> pa.Table:
+    """A row for each bucket: the block's n-grams there, and their counts in training texts."""
+    tokens = Tokens(table)
+    rows: dict[int, dict] = {}
+    for k in range(ORDER):
+        value, count = tokens.grams[k][0], tokens.counts(k)
+        for b, i, j in runs(bucket_of(value, n)):
+            rows.setdefault(b, {}).update({f"k{k}": _cut_keys(value[i:j], KEY_BYTES[k]), f"c{k}": _narrow(count[i:j])})
+    block = table.column("block")[0].as_py()
+    names = [f"{x}{k}" for k in range(ORDER) for x in "kc"]
     return pa.table({
-        "block": pa.array([block] * len(got), pa.int32()),
-        "bucket": pa.array(bucket, pa.int32()),
-        "kind": pa.array(kind, pa.int32()),
-        "keys": pa.array(keys, pa.binary()),
-        "x": pa.array(x, pa.binary()),
-        "y": pa.array(y, pa.binary()),
+        "block": pa.array([block] * len(rows), pa.int64()),
+        "bucket": pa.array(list(rows), pa.int32()),
+        **{name: pa.array([r.get(name, b"") for r in rows.values()], pa.binary()) for name in names},
     })
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Rows of TOLD: counts over all blocks of n-grams of one bucket, or backoff weights of its contexts."""
-    table = table.sort_by("block")
-    flat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    edges = np.cumsum([len(x) // 8 for x in table.column("keys").to_pylist()])[:-1]
-    value, first, where = np.unique(flat("keys", np.uint64), return_index=True, return_inverse=True)
-    if table.column("kind")[0].as_py() in (PAIR, TRIPLE):
-        total = np.zeros(len(value), np.int64)
-        np.add.at(total, where, flat("x", np.int64))
-        mark = np.zeros(len(where), bool)
-        mark[first] = True
-        marks = pa.array([np.packbits(m).tobytes() for m in np.split(mark, edges)], pa.binary())
-    else:
-        left, rest = (1 - np.bincount(where, flat(name, np.float64), len(value)) for name in ("x", "y"))
-        total = np.log10(np.maximum(left, 1e-9) / np.maximum(rest, 1e-9))
-        marks = pa.nulls(table.num_rows, pa.binary())
-    told = pa.array([x.tobytes() for x in np.split(total[where], edges)], pa.binary())
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "kind": table.column("kind"), "value": told, "first": marks})
-
-
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    """The counts over all blocks of a bucket's n-grams, in the order in which each block sent them."""
+    m = table.num_rows
+    out: dict[str, pa.Array] = {"block": table.column("block"), "bucket": table.column("bucket")}
+    for k in range(ORDER):
+        keys = [_keys(x, KEY_BYTES[k]) for x in table.column(f"k{k}").to_pylist()]
+        counts = [_wide(x, len(own)) for x, own in zip(table.column(f"c{k}").to_pylist(), keys, strict=True)]
+        value, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(where, np.concatenate(counts), len(value)).astype(np.int64)
+        told = np.split(total[where], np.cumsum([len(x) for x in keys])[:-1])
+        out[f"n{k}"], out[f"t{k}"] = pa.array([len(x) for x in told], pa.int32()), pa.array([_narrow(x) for x in told], pa.binary())
+        if not k:
+            for name, x in (("tokens", total.sum()), ("seen", (total > 0).sum()), ("once", (total == 1).sum()), ("twice", (total == 2).sum())):
+                out[name] = pa.array([int(x)] + [0] * (m - 1), pa.int64())
+    return pa.table(out)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -244,92 +216,41 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     Learnt from the documents whose crc32 of the id as text isn't 0 modulo 10; a null id counts as 0, so such
     rows are scored and not learnt from. Null and empty texts are the end token alone. Repeated rows are learnt
-    from and scored each. Without training documents both know unseen tokens alone.
-
-    ``score`` is the log10 probability in an automaton of word n-grams up to three words, absolutely discounted,
-    over the events that ``base_score`` has: each training token, and an unseen one. ``base_score`` is the unigram
-    with 0.1 added. The model stays distributed and grows with the corpus: each block of some MB of documents sends
-    its distinct words, then its distinct n-grams of two words and of three, to their buckets, which answer with the
-    corpus counts; then its contexts with their arcs' shares, each arc counted by one block, and gets backoff weights
-    back. Nothing is broadcast; a word or n-gram that all documents hold is one entry a block.
+    from and scored each. Without training documents an unseen token has probability 1 in both, an empty table gives
+    no rows. Extra columns are ignored.
+
+    ``score`` is the log10 probability of the text in the backoff automaton of word n-grams up to ORDER words;
+    ``base_score`` is the unigram with 0.1 added. Every n-gram of the training texts counts, whatever the corpus's
+    size. The model stays distributed and grows with the corpus: each block of some MB of documents sends its
+    distinct n-grams to their buckets, which answer with the counts over the corpus, and walks the part of the
+    automaton that its texts reach. Nothing is broadcast; an n-gram that all documents hold is one entry a block.
+    Words are told apart by 64-bit hashes, longer n-grams within a bucket by 40 bits.
     """
     n = blocks_for(docs, BLOCK_BYTES)
     held = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(FOLDS)) == 0
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"))
-    # The salt keeps rows of one id, or without one, apart.
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 200), F.length("text")), F.lit(n)).cast("int"))
-    blocks = in_blocks(dealt, n, "lm_blocks")
-
-    def ask(table: pa.Table) -> pa.Table:
-        block = BlockWords(table, n)
-        train = ~block.table.column("held_out").to_numpy()
-        count = np.bincount(block.where[train[block.row]], minlength=len(block.value)).astype(np.int64)
-        return _asks(table.column("block")[0].as_py(), n, (WORD, block.value, count, None))
-
-    def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, np.int64) for x in table.column("x").to_pylist()]
-        sums = word_sums(keys, counts)
-        _, at = np.unique(np.concatenate(keys), return_index=True)
-        total, zero = np.concatenate(sums)[at], [0] * (len(keys) - 1)
-        return pa.table({
-            "block": table.column("block"),
-            "bucket": table.column("bucket"),
-            "kind": table.column("kind"),
-            "value": pa.array([x.tobytes() for x in sums], pa.binary()),
-            "first": pa.nulls(len(keys), pa.binary()),
-            "tokens": pa.array([int(total.sum()), *zero], pa.int64()),
-            "distinct": pa.array([int((total > 0).sum()), *zero], pa.int64()),
-            "once": pa.array([int((total == 1).sum()), *zero], pa.int64()),
-        })
-
-    asked = blocks.groupBy("block").applyInArrow(ask, ASK)
-    counted = written(asked.groupBy("bucket").applyInArrow(answer, f"{TOLD}, tokens long, distinct long, once long"), "lm-words")
-    ends = own.filter(~F.col("held_out")).count()
-    facts = counted.agg(F.sum("tokens").alias("t"), F.sum("distinct").alias("v"), F.sum("once").alias("o")).first()
-    tokens, distinct, once = int(facts["t"] or 0) + ends, int(facts["v"] or 0) + (ends > 0), int(facts["o"] or 0)
-    often = max(OFTEN, -(-tokens // WORDS) if WORDS else 1)
-    least = max(1, -(-tokens // ARCS) if ARCS else 1)
-    told = counted.select("block", "bucket", "kind", "value", "first")
-
-    def grams(table: pa.Table, marks: pa.Table) -> BlockGrams:
-        return BlockGrams(table, marks, n, often, least, ends, tokens, once)
-
-    def pairs(table: pa.Table, marks: pa.Table) -> pa.Table:
-        g = grams(table, marks)
-        return _asks(table.column("block")[0].as_py(), n, (PAIR, g.pairs.key, g.pairs.count, None))
-
-    def triples(table: pa.Table, marks: pa.Table) -> pa.Table:
-        g = grams(table, marks)
-        g.take_pairs()
-        return _asks(table.column("block")[0].as_py(), n, (TRIPLE, g.triples.key, g.triples.count, None), (AFTER_ONE, *g.shares(AFTER_ONE)))
-
-    def contexts(table: pa.Table, marks: pa.Table) -> pa.Table:
-        g = grams(table, marks)
-        g.take_pairs()
-        g.take_triples()
-        return _asks(table.column("block")[0].as_py(), n, (AFTER_TWO, *g.shares(AFTER_TWO)))
-
-    for step, name in ((pairs, "lm-pairs"), (triples, "lm-triples"), (contexts, "lm-contexts")):
-        asked = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(step, ASK)
-        told = told.unionByName(written(asked.groupBy("bucket", "kind").applyInArrow(_answer, TOLD), name))
-
-    def score(table: pa.Table, marks: pa.Table) -> pa.Table:
-        g = grams(table, marks)
-        g.take_pairs()
-        g.take_triples()
-        block, rows, count = g.block, table.num_rows, g.count[g.block.where]
-        n_tokens = np.bincount(block.row, minlength=rows) + 1
-        known = np.bincount(block.row, count > 0, rows).astype(np.int64) + (ends > 0)
-        base = np.bincount(block.row, np.log10(count + 0.1), rows) + np.log10(ends + 0.1) - n_tokens * np.log10(tokens + 0.1 * (distinct + 1))
+    blocks = in_blocks(own, BLOCK_BYTES, "lm_blocks")
+    asked = blocks.groupBy("block").applyInArrow(lambda table: _ask(table, n), ASK)
+    told = written(asked.groupBy("bucket").applyInArrow(_answer, TOLD), "lm-counts")
+    names = ("tokens", "seen", "once", "twice")
+    row = told.agg(*[F.sum(c).alias(c) for c in names]).first()
+    facts = {c: int(row[c] or 0) for c in names}
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens, answers = Tokens(table), answers.sort_by("bucket")
+        total = [np.concatenate([_wide(x, m) for x, m in zip(answers.column(f"t{k}").to_pylist(), answers.column(f"n{k}").to_pylist(), strict=True)]) for k in range(ORDER)]
+        rows, on = table.num_rows, tokens.scored
+        text, count = tokens.text[on], total[0][tokens.grams[0][2][on]]
+        n_tokens = np.bincount(text, minlength=rows)
+        base = np.bincount(text, np.log10(count + 0.1), rows) - n_tokens * np.log10(facts["tokens"] + 0.1 * (facts["seen"] + 1))
         return pa.table({
-            "doc_id": block.table.column("doc_id"),
-            "held_out": block.table.column("held_out"),
+            "doc_id": table.column("doc_id"),
+            "held_out": table.column("held_out"),
             "n_tokens": n_tokens,
-            "n_known": known,
-            "train_tokens": np.full(rows, tokens, np.int64),
+            "n_known": np.bincount(text, count > 0, rows).astype(np.int64),
+            "train_tokens": np.full(rows, facts["tokens"], np.int64),
             "base_score": base,
-            "score": g.score(),
+            "score": Automaton(tokens, total, facts).walk(tokens),
         })
 
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, SCHEMA)
+    return blocks.groupBy("block").cogroup(told.drop(*names).groupBy("block")).applyInArrow(score, SCHEMA)
