@@ -185,3 +185,12 @@ def test_neighbours_meet_in_a_shard(spark):
     recall = sum(shard[i] == shard[j] for i, j in near) / len(near)
     print("neighbour recall", recall)
     assert recall > 0.8
+
+
+def test_a_joined_vocabulary_packs_alike(spark, docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    sent, joined = (sorted(map(repr, packing.pack(docs, path, window=64, shard_bytes=60_000, most_terms=m).collect())) for m in (1 << 20, 0))
+    assert sent == joined and len(sent) > 1000
+    assert packing.pack(docs.limit(0), path, most_terms=-1).count() == 0

@@ -10,23 +10,24 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxspark.llm import textkit
-from voxspark.llm.shared import blocks_for, in_blocks, written
+from voxspark.llm.shared import blocks_for, sized, written
 
 WINDOW = 1024
 SHARD_BYTES = 2 << 20
-#: Documents go to shards by cells of retrieval keys, so many for each shard.
-CELLS = 16
+#: Frequencies of so many terms at most are sent to all tasks: 48 MB.
+MOST_TERMS = 4_000_000
+FLUSH_TERMS = 1 << 20
 K1, B = 1.2, 0.75
 MOST_CACHED = 800_000
 
 _U = np.uint64
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-    "shard int, seed_doc_id long"
+    "shard long, seed_doc_id long"
 )
 
 
@@ -169,24 +170,53 @@ def _idf(df: np.ndarray, n: int) -> np.ndarray:
     return np.where(df < 2, 0.0, np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0))
 
 
-class Index:
-    """A BM25 inverted index of one shard's documents; a term is what stands between blanks. Terms found in one document, or in most, weigh nothing.
+class Terms:
+    """Document frequencies of terms over a whole corpus, with its number of documents and mean length in terms.
 
-    ``corpus`` has each piece's document frequency, and the documents and mean length, of all shards.
+    ``term`` is ordered; terms that aren't in it are found in one document or in most and weigh nothing.
     """
 
-    def __init__(self, row: np.ndarray, value: np.ndarray, n: int, corpus: tuple[np.ndarray, int, float] | None = None):
-        _, some, term = np.unique(value, return_index=True, return_inverse=True)
+    def __init__(self, term: np.ndarray, df: np.ndarray, total: int, mean: float):
+        self.term, self.df, self.total, self.mean = term, df, total, max(mean, 1.0)
+
+    @classmethod
+    def of(cls, row: np.ndarray, value: np.ndarray, n: int) -> Terms:
+        """Those of ``n`` documents."""
+        distinct, term = np.unique(value, return_inverse=True)
+        return cls(distinct, np.bincount(_counted(row, term, n)[0], minlength=len(distinct)), n, len(row) / max(n, 1))
+
+    def idf(self, value: np.ndarray) -> np.ndarray:
+        if not len(self.term):
+            return np.zeros(len(value))
+        place = np.minimum(np.searchsorted(self.term, value), len(self.term) - 1)
+        return _idf(np.where(self.term[place] == value, self.df[place], 0).astype(np.int64), self.total)
+
+    def weights(self, row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """(distinct values, term, document, count, BM25 weight) of the documents' distinct terms that weigh something."""
+        distinct, term = np.unique(value, return_inverse=True)
         term, doc, count = _counted(row, term, n)
-        length = np.bincount(row, minlength=n)
-        df, total, mean = (np.bincount(term), n, length.mean()) if corpus is None else (corpus[0][some], *corpus[1:])
-        idf = _idf(df, total)
-        norm = K1 * (1 - B + B * length / max(mean, 1.0))
-        on = idf[term] > 0
+        idf = self.idf(distinct)[term]
+        on = idf > 0
         term, doc, count = term[on], doc[on], count[on]
+        norm = K1 * (1 - B + B * np.bincount(row, minlength=n) / self.mean)
+        return distinct, term, doc, count, idf[on] * count * (K1 + 1) / (count + norm[doc])
+
+
+def strongest(terms: Terms, row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that have a term that weighs something, and the one that weighs most in each; ties by hash."""
+    distinct, term, doc, _, weight = terms.weights(row, value, n)
+    order = np.lexsort((term, weight, doc))
+    last = order[np.append(doc[order][1:] != doc[order][:-1], True)] if len(order) else order
+    return doc[last], distinct[term[last]].view(np.int64)
+
+
+class Index:
+    """A BM25 inverted index of one shard's documents; a term is what stands between blanks, weighed by the corpus."""
+
+    def __init__(self, row: np.ndarray, value: np.ndarray, n: int, terms: Terms | None = None):
+        distinct, term, doc, count, self.weight = (terms or Terms.of(row, value, n)).weights(row, value, n)
         self.n, self.doc = n, doc
-        self.weight = idf[term] * count * (K1 + 1) / (count + norm[doc])
-        self.first = np.searchsorted(term, np.arange(len(df) + 1))
+        self.first = np.searchsorted(term, np.arange(len(distinct) + 1))
         order = np.argsort(doc, kind="stable")
         self.terms, self.count = term[order], count[order]
         self.of = np.searchsorted(doc[order], np.arange(n + 1))
@@ -241,102 +271,109 @@ def _ids(path: str) -> Ids:
     return Ids(path)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df, pieces): documents of each term, added up within the task; the terms of all documents in one row's pieces."""
+    value, df, pieces = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def flush() -> pa.RecordBatch:
+        first = np.zeros(len(value), np.int64)
+        first[:1] = pieces
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(df), pa.array(first)], ["term", "df", "pieces"])
+
+    for b in batches:
+        for t in textkit.slices(b.column("text"), 4 << 20):
+            row, term = _terms(t)
+            own, where = np.unique(term, return_inverse=True)
+            both, at = np.unique(np.concatenate([value, own]), return_inverse=True)
+            df = np.bincount(at, np.concatenate([df, np.bincount(_counted(row, where, t.rows)[0], minlength=len(own))]), len(both)).astype(np.int64)
+            value, pieces = both, pieces + len(row)
+            if len(value) > FLUSH_TERMS:
+                yield flush()
+                value, df, pieces = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    if len(value):
+        yield flush()
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for t in textkit.slices(b.column("text")):
+            row, term = _terms(t)
+            value, where = np.unique(term, return_inverse=True)
+            of, doc, count = _counted(row, where, t.rows)
+            salts = b.column("salt").slice(t.first, t.rows).to_numpy()
+            length = np.bincount(row, minlength=t.rows)
+            yield pa.RecordBatch.from_arrays([pa.array(salts[doc]), pa.array(value[of].view(np.int64)), pa.array(count), pa.array(length[doc])], ["salt", "term", "count", "length"])
+
+
+def _keys_by_join(own: DataFrame, weighing: DataFrame, total: int, mean: float) -> DataFrame:
+    """``own`` with each document's strongest term as ``key``, by a join on terms: for vocabularies too large to send."""
+    idf = F.log((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * F.col("length") / max(mean, 1.0)))
+    found = own.mapInArrow(_postings, "salt long, term long, count long, length long").join(weighing, "term")
+    best = found.groupBy("salt").agg(F.max(F.struct(weight.alias("w"), "term")).alias("best"))
+    return own.join(best, "salt", "left").select("doc_id", "text", "salt", F.coalesce("best.term", "salt").alias("key"))
+
+
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, most_terms: int = MOST_TERMS) -> DataFrame:
     """Pieces of all documents, each token id in exactly one, packed in sequences of at most ``window`` ids.
 
     A document's ids are those of its text and then id 0; null and empty texts are that id alone. Document
-    frequencies and the mean length are those of the whole table: blocks of documents send their distinct terms to
-    hash buckets and get the counts back. A document's retrieval key is its term that weighs most. Keys go to cells,
-    and cells to shards of about ``shard_bytes``, so that documents of one key meet; a cell that fills more than half
-    a shard has shards of its own, among which its documents are dealt by a salt. Shards grow in number, each a
-    task's work of bounded size. Only a shard's last sequence has padding. Repeated rows and null ids are packed as
-    documents of their own; an empty table gives no rows. The driver gets the bytes of each cell.
+    frequencies and the mean length are those of the whole table. A document's retrieval key is its term that weighs
+    most, so that documents of one subject have one key. Keys are dealt to shards of about ``shard_bytes`` by hash; a
+    key with more than a quarter of a shard has shards of its own, among which its documents are dealt by a salt, and
+    documents without a weighing term are dealt by theirs. A shard's index is one task's work of bounded size; shards
+    grow in number. Only a shard's last sequence has padding. Repeated rows and null ids are packed as documents of
+    their own; an empty table gives no rows; extra columns are ignored.
+
+    Frequencies of the terms that weigh something go to all tasks while they are at most ``most_terms`` (12 bytes
+    each); a larger vocabulary is joined on the term, for the keys and for each shard's terms, with the same result.
     """
-    n_blocks = blocks_for(docs, 4 * shard_bytes)
+    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
-    blocks = in_blocks(own.withColumn("block", F.pmod("salt", F.lit(n_blocks)).cast("int")), n_blocks, "bm25_blocks")
-
-    def distinct(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-        """Slices with their terms; the block's distinct terms ordered by bucket, their frequency, and each piece's."""
-        parts = [(t, *_terms(t)) for t in textkit.slices(table.column("text"))]
-        value, where = np.unique(np.concatenate([term for _, _, term in parts]), return_inverse=True)
-        order = np.lexsort((value, value % _U(n_blocks)))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        where = rank[where]
-        row = np.concatenate([row + t.first for t, row, _ in parts])
-        return parts, value[order], np.bincount(_counted(row, where, table.num_rows)[0], minlength=len(order)), where
-
-    def ask(table: pa.Table) -> pa.Table:
-        _, value, df, where = distinct(table)
-        bucket = (value % _U(n_blocks)).astype(np.int64)
-        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
-        runs = list(zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist(), strict=True)) if len(bucket) else []
-        return pa.table({
-            "block": pa.array([table.column("block")[0].as_py()] * len(runs), pa.int32()),
-            "bucket": pa.array([int(bucket[i]) for i, _ in runs], pa.int32()),
-            "keys": pa.array([value[i:j].tobytes() for i, j in runs], pa.binary()),
-            "df": pa.array([df[i:j].astype(np.int64).tobytes() for i, j in runs], pa.binary()),
-            "pieces": pa.array([len(where) * (k == 0) for k in range(len(runs))], pa.int64()),
-        })
-
-    def answer(table: pa.Table) -> pa.Table:
-        flat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        value, where = np.unique(flat("keys", np.uint64), return_inverse=True)
-        total = np.zeros(len(value), np.int64)
-        np.add.at(total, where, flat("df", np.int64))
-        edges = np.cumsum([len(x) // 8 for x in table.column("keys").to_pylist()])[:-1]
-        sums = pa.array([x.astype(np.uint32).tobytes() for x in np.split(total[where], edges)], pa.binary())
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "df": sums, "pieces": table.column("pieces")})
-
-    asked = blocks.groupBy("block").applyInArrow(ask, "block int, bucket int, keys binary, df binary, pieces long")
-    told = written(asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, df binary, pieces long"), "bm25-terms")
-    total = blocks.count()
-    mean = (told.agg(F.sum("pieces").alias("p")).first()["p"] or 0) / max(total, 1)
-
-    def keyed(table: pa.Table, marks: pa.Table) -> pa.Table:
-        parts, value, _, where = distinct(table)
-        sums = marks.sort_by("bucket").column("df").to_pylist()
-        corpus = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in sums)])
-        salt = table.column("salt").to_numpy()
-        key, idf, frequencies, done = salt.copy(), _idf(corpus.astype(np.int64), total), [], 0
-        for t, row, _ in parts:
-            term = where[done : done + len(row)]
-            done += len(row)
-            length = np.bincount(row, minlength=t.rows)
-            raw, upto = corpus[term].tobytes(), 4 * np.concatenate([[0], np.cumsum(length)])
-            frequencies += [raw[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-            term, doc, count = _counted(row, term, t.rows)
-            weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / max(mean, 1.0))[doc])
-            order = np.lexsort((value[term], weight, doc))
-            last = order[np.append(doc[order][1:] != doc[order][:-1], True)] if len(order) else order
-            last = last[weight[last] > 0]
-            key[t.first + doc[last]] = value[term[last]].view(np.int64)
-        return pa.table({"doc_id": table.column("doc_id"), "text": table.column("text"), "salt": salt, "df": pa.array(frequencies, pa.binary()), "key": key})
-
-    found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(keyed, "doc_id long, text string, salt long, df binary, key long")
-    cells = CELLS * blocks_for(docs, shard_bytes)
-    found = written(found.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")), "bm25-keys")
-    size = np.zeros(cells, np.int64)
-    for r in found.groupBy("cell").agg(F.sum(F.octet_length("text") + F.lit(64)).alias("b")).toLocalIterator():
-        size[r["cell"]] = r["b"]
-    hot = size > shard_bytes // 2
-    first = (np.cumsum(np.where(hot, 0, size)) - np.where(hot, 0, size)) // shard_bytes
-    many = np.where(hot, -(-size // shard_bytes), 1)
-    first[hot] = int(first[~hot].max(initial=-1)) + 1 + np.cumsum(many[hot]) - many[hot]
-    places = docs.sparkSession.createDataFrame(pa.table({"cell": np.arange(cells, dtype=np.int32), "first": first, "many": many}))
-    shard = (F.col("first") + F.pmod(F.xxhash64("salt"), F.col("many"))).cast("int")
-    dealt = found.join(F.broadcast(places), "cell").select("doc_id", "text", "df", shard.alias("shard"))
-
-    def run(table: pa.Table) -> pa.Table:
+    counted = own.mapInArrow(_frequencies, "term long, df long, pieces long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("pieces").alias("pieces"))
+    counted = written(counted, "bm25-terms")
+    total = own.count()
+    mean = (counted.agg(F.sum("pieces").alias("p")).first()["p"] or 0) / max(total, 1)
+    weighing = counted.filter((F.col("df") > 1) & (2 * F.col("df") < total)).select("term", "df")
+    salted = own.withColumn("salt", F.monotonically_increasing_id())
+    sent = None
+    if weighing.count() <= most_terms:
+        got = weighing.toArrow()
+        term, df = got.column("term").to_numpy().view(np.uint64), got.column("df").to_numpy()
+        order = np.argsort(term)
+        sent = spark.sparkContext.broadcast(Terms(term[order], df[order].astype(np.uint32), total, mean))
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key = b.column("salt").to_numpy().copy()
+                for t in textkit.slices(b.column("text")):
+                    doc, best = strongest(sent.value, *_terms(t), t.rows)
+                    key[t.first + doc] = best
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], ["doc_id", "text", "salt", "key"])
+
+        found = salted.mapInArrow(keyed, "doc_id long, text string, salt long, key long")
+    else:
+        found = _keys_by_join(written(salted, "bm25-documents"), weighing, total, mean)
+    found = written(found, "bm25-keys")
+    n = blocks_for(docs, shard_bytes)
+    size = F.sum(F.octet_length("text") + F.lit(64)).alias("size")
+    hot = found.groupBy("key").agg(size).filter(F.col("size") > shard_bytes // 4)
+    hot = written(hot.select("key", F.ceil(F.col("size") / shard_bytes).alias("many"), F.spark_partition_id().alias("p")), "bm25-hot")
+    # Running sums in two steps: of the parts, and within each.
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    parts = hot.groupBy("p").agg(F.sum("many").alias("w")).select("p", F.coalesce(F.sum("w").over(before(Window.orderBy("p"))), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("many").over(before(Window.partitionBy("p").orderBy("key"))), F.lit(0))
+    hot = sized(written(hot.withColumn("within", within).join(parts, "p").select("key", "many", (F.lit(n) + F.col("base") + F.col("within")).alias("first")), "bm25-first"))
+    shard = F.coalesce(F.col("first") + F.pmod(F.xxhash64("salt"), F.col("many")), F.pmod(F.xxhash64("key"), F.lit(n)))
+    dealt = found.join(hot, "key", "left").select("doc_id", "text", shard.cast("long").alias("shard"))
+
+    def run(table: pa.Table, terms: Terms) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         encoder, n, shard = _ids(tokenizer_path), table.num_rows, table.column("shard")[0].as_py()
         (t,) = textkit.slices(table.column("text"), 1 << 62, 1 << 62)
         ids, upto, row, term = encoder.of(t)
         flat, first = np.insert(ids, upto[1:], 0).astype("<u4"), upto + np.arange(n + 1)
-        df = np.frombuffer(b"".join(table.column("df").to_pylist()), np.uint32).astype(np.int64)
-        pieces = np.array(fill(np.diff(first), Index(row, term, n, (df, total, mean)), window))
+        pieces = np.array(fill(np.diff(first), Index(row, term, n, terms), window))
         doc, start, length, sequence, offset, seed = pieces.T
         at = first[doc] + start
         raw = memoryview(flat.tobytes())
@@ -350,14 +387,26 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes
             "doc_tokens": np.diff(first)[doc],
             "sequence_id": sequence + (shard << 32),
             "offset": offset,
-            "shard": pa.array(np.full(len(doc), shard, np.int32)),
+            "shard": pa.array(np.full(len(doc), shard)),
             "seed_doc_id": names.take(pa.array(seed)),
         })
 
-    return dealt.groupBy("shard").applyInArrow(run, SCHEMA)
+    if sent is not None:
+        return dealt.groupBy("shard").applyInArrow(lambda table: run(table, sent.value), SCHEMA)
+    dealt = written(dealt, "bm25-dealt")
+    own_terms = dealt.withColumnRenamed("shard", "salt").mapInArrow(_postings, "salt long, term long, count long, length long")
+    frequencies = own_terms.select(F.col("salt").alias("shard"), "term").distinct().join(weighing, "term")
+
+    def joined(table: pa.Table, rows: pa.Table) -> pa.Table:
+        term = rows.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        return run(table, Terms(term[order], rows.column("df").to_numpy()[order], total, mean))
+
+    return dealt.groupBy("shard").cogroup(frequencies.groupBy("shard")).applyInArrow(joined, SCHEMA)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
+    """``pack`` with the vocabulary ``byte_bpe_50k.json`` in windows of 1024: nulls, empty texts and copies as there."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
