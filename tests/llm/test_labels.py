@@ -85,6 +85,54 @@ def test_license_spans(spark, docs, texts):
     assert licenses.license_spans(docs.limit(0)).count() == 0
 
 
+def spans(spark, texts):
+    got = licenses.license_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return sorted((r.doc_id, r.template, r.matched, r.first_word, r.last_word) for r in got)
+
+
+def test_repeated_moved_and_overlapping_notices(spark):
+    grant = re.findall(r"\w+", licenses.TEMPLATES["mit-grant"])
+    moved = [*grant[:20], "x1", "x2", "x3", *grant[20:40], "y1", "y2", "y3", *grant[40:]]
+    got = spans(spark, ["All rights reserved. All rights reserved.", " ".join(moved), "Licensed under CC BY 4.0.", "Released under the MIT licence."])
+    assert got == [
+        (0, "all-rights-reserved", 3, 0, 2),
+        (0, "all-rights-reserved", 3, 3, 5),
+        (1, "mit-grant", len(grant), 0, len(moved) - 1),
+        (2, "cc-by-4.0", 6, 0, 5),
+        (3, "mit", 4, 0, 3),
+    ]
+
+
+def test_spans_against_whole_alignment(spark):
+    """A place that the whole table of alignment finds in a text with one altered notice is reported, and no other."""
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *(max(row[j] + 1 if x == y else 0, row[j + 1]) for j, y in enumerate(b))]
+            for j in range(1, len(row)):
+                row[j] = max(row[j], row[j - 1])
+        return row[-1]
+
+    rng, texts, want = random.Random(5), [], []
+    for _ in range(60):
+        name = rng.choice(["mit-grant", "apache-2.0-disclaimer", "gpl-disclaimer", "zlib-text", "isc-text"])
+        t = [x.lower() for x in re.findall(r"\w+", licenses.TEMPLATES[name])]
+        own = list(t)
+        for _ in range(rng.randint(0, len(t) // 3)):
+            at = rng.randrange(len(own))
+            kind = rng.random()
+            own[at : at + (kind < 0.7)] = [] if kind < 0.3 else [f"q{rng.randint(0, 99)}"]
+        texts.append(prose(rng, 12) + " " + " ".join(own) + " " + prose(rng, 12))
+        want.append((name, common(t, re.findall(r"\w+", texts[-1].lower())), len(t)))
+    got = spans(spark, texts)
+    for i, (name, n, size) in enumerate(want):
+        mine = [g for g in got if g[0] == i]
+        assert [g[1] for g in mine] == ([name] if n >= 0.8 * size else []), (i, name, n / size, mine)
+        assert all(g[2] <= n and g[2] >= n - 3 for g in mine)
+    assert 20 < sum(n >= 0.8 * size for _, n, size in want) < 60
+
+
 def test_winnowing_keeps_a_gram_of_each_run():
     import numpy as np
 
