@@ -1,5 +1,6 @@
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 from voxspark.llm import bagminhash, components, line_dedup, quality, sharding
@@ -139,6 +140,35 @@ def test_sharding(spark, docs, texts):
     assert len({(r.shard, r.slot) for r in doubled}) == 2 * len(texts)
 
 
+def test_copies_are_dealt_like_any_rows(spark):
+    rows = [(i, f"text {i}") for i in range(4000)] + [(7, "copy")] * 4000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard_rows(docs, 8, rows_per_cell=300).collect()
+    assert sorted({(r.shard, r.slot) for r in got}) == [(s, k) for s in range(8) for k in range(1000)]
+    crc = zlib.crc32(b"copy")
+    # Copies by shard, by eighth of the slots, and neighbours that are copies: each as a uniform permutation has them.
+    by_shard = Counter(r.shard for r in got if r.text_crc32 == crc)
+    by_place = Counter(r.slot // 125 for r in got if r.text_crc32 == crc)
+    for by in (by_shard, by_place):
+        assert sum((by[k] - 500) ** 2 / 250 for k in range(8)) < 24.3
+    order = [r.text_crc32 == crc for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert abs(sum(a and b for a, b in zip(order, order[1:], strict=False)) - 2000) < 200
+
+
+def test_groups_of_cells_have_the_same_law():
+    """Where the matrix is drawn in two steps, a cell's rows are dealt as in one step."""
+    import numpy as np
+
+    counts, room = np.array([5, 9, 6]), sharding.even(20, 3)
+    one, two = np.zeros((3, 3)), np.zeros((3, 3))
+    for k in range(2000):
+        one += sharding.communication_matrix(counts, room, k)
+        both = sharding.communication_matrix(np.array([5 + 9, 6]), room, k)
+        two += np.vstack([sharding.communication_matrix(counts[:2], both[0], [k, 0]), both[1]])
+    assert np.abs(one - two).max() / 2000 < 0.12 and np.allclose(two.sum(0), 2000 * room) and np.allclose(two.sum(1), 2000 * counts)
+
+
+
 def test_the_end_of_a_text_is_a_chunk():
     import random
 
