@@ -205,9 +205,10 @@ class Terms:
 def strongest(terms: Terms, row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents that have a term that weighs something, and the one that weighs most in each; ties by hash."""
     distinct, term, doc, _, weight = terms.weights(row, value, n)
-    order = np.lexsort((term, weight, doc))
+    name = distinct.view(np.int64)[term]
+    order = np.lexsort((name, weight, doc))
     last = order[np.append(doc[order][1:] != doc[order][:-1], True)] if len(order) else order
-    return doc[last], distinct[term[last]].view(np.int64)
+    return doc[last], name[last]
 
 
 class Index:
