@@ -11,29 +11,30 @@ from voxspark.llm.shared import benchmark, documents, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
+    """The documents that the quality rules keep; null and empty texts and those of under 50 words go, copies are judged alike."""
     return quality.keep_good(docs)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that three or more of them share but in the last; ``n_chars`` follows the text."""
-    names = docs.columns
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", line_dedup.chars(out)).select(*names)
+    """All documents, without the lines that three or more of them share but in the last; ``n_chars`` follows the text.
+
+    Null and empty texts stay as they are; rows of one id are one document; other columns pass through.
+    """
+    return line_dedup.without_shared_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that with the least id."""
+    """One document of each class of near duplicates, that with the least id; rows without an id and empty texts stay."""
     return bagminhash.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark passage."""
+    """The documents that hold no benchmark passage; null and empty texts hold none."""
     return decontaminate.without_contaminated(docs, benchmark(spark, sf_dir))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents, in sequences."""
+    """The token pieces of all documents, in sequences; null and empty texts are their end id alone."""
     return packing.pack_documents(docs)
 
 

@@ -32,8 +32,12 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lost executors cost no more than a read."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lost executors cost no more than a read.
+
+    A ``narrow`` table (ids, counts) is written by four tasks a core at most, not a file for each shuffle partition.
+    """
     path = fresh(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.coalesce(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism)) if narrow else df
+    out.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
