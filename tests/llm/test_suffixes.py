@@ -26,9 +26,10 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 20_000])
-def test_remove_repeats(spark, monkeypatch, texts, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "hot"), [(8 << 20, 1 << 16), (20_000, 1 << 16), (20_000, 5)])
+def test_remove_repeats(spark, monkeypatch, texts, block_bytes, hot):
     monkeypatch.setattr(bucket_refinement, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(bucket_refinement, "HOT", hot)
     rng = random.Random(11)
     shared = [prose(rng, n) for n in (8, 10, 12, 40, 90)]
     rows = [r for r in texts if r[0] != 95]

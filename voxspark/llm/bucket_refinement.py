@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.llm import textkit
-from voxspark.llm.shared import blocks_for, in_blocks, written
+from voxspark.llm.shared import blocks_for, bucket_of, in_blocks, runs, written
 
 DEPTH = 50
 Q = 20
@@ -19,7 +20,9 @@ REACH = OFFSETS - 1 + DEPTH
 BLOCK_BYTES = 8 << 20
 
 _U = np.uint64
-_PIECE = 1 << 23
+_PIECE = 1 << 20
+#: A q-gram with more suffixes than this is hot: its 50-byte strings are compared one by one in buckets of their own.
+HOT = 1 << 16
 _LOW = _U((1 << 24) - 1)
 
 
@@ -44,7 +47,7 @@ def _least(data: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The documents of one block, ordered by id, and the suffixes that stand for all of theirs.
+    """The rows of one block, ordered by id, and the suffixes that stand for all of theirs.
 
     Every 50-byte string holds 31 q-grams; the suffix at the least of them (by hash) stands for it. So two equal
     strings are stood for by suffixes with one q-gram, at one distance, and a sixteenth of all suffixes is enough.
@@ -69,7 +72,7 @@ class Block:
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(start)) - 1
             place = least[first]
-            value.append(textkit.span_hash(textkit.prefix_hash(p.data), place, place + Q))
+            value.append(textkit.spans_hashed(p.data, place, place + Q))
             at.append(place + s)
             low.append(start[first] + s)
             high.append(start[last] + s)
@@ -78,18 +81,18 @@ class Block:
         self.at, self.low, self.high, self.row = (join(x, np.int64) for x in (at, low, high, row))
         self.value = join(value, np.uint64)
 
-    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct q-grams ordered by bucket and hash; for each, whether two rows here have it; the places."""
+    def qgrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct q-grams in order; for each, whether two rows here have it, and its suffixes; each suffix's place."""
         value, first, where = np.unique(self.value, return_index=True, return_inverse=True)
-        order = np.lexsort((value, value % _U(n)))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
         shared = np.zeros(len(value), bool)
         shared[where[self.row != self.row[first][where]]] = True
-        return value[order], shared[order], rank[where]
+        return value, shared, np.bincount(where, minlength=len(value)), where
 
-    def pick(self, on: np.ndarray) -> None:
-        self.at, self.low, self.high, self.row, self.value = (x[on] for x in (self.at, self.low, self.high, self.row, self.value))
+    def only(self, on: np.ndarray) -> Block:
+        """This block with the suffixes that are on."""
+        out = copy(self)
+        out.at, out.low, out.high, out.row, out.value = (x[on] for x in (self.at, self.low, self.high, self.row, self.value))
+        return out
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """The bytes around each suffix that its strings cover, others 0, and a bit for each distance it stands for."""
@@ -105,27 +108,29 @@ class Block:
             bits[part] = (valid.astype(np.uint32) << apart.astype(np.uint32)).sum(1, dtype=np.uint32)
         return around, bits
 
-    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts ordered by bucket: (first suffix with each, its bytes, its bits, each suffix's context)."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts ordered by q-gram: (first suffix with each, its bytes, its bits, each suffix's context)."""
         around, bits = self.contexts()
         key = self.value ^ textkit.mix(bits)
         with np.errstate(over="ignore"):
             for j in range(0, REACH, 8):
                 key = textkit.mix(key * _U(31) + np.ascontiguousarray(around[:, j : j + 8]).view(np.uint64)[:, 0])
         key, first, where = np.unique(key, return_index=True, return_inverse=True)
-        order = np.lexsort((key, self.value[first], self.value[first] % _U(n)))
+        order = np.lexsort((key, self.value[first]))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         first = first[order]
         return first, around[first], bits[first], rank[where]
 
-
-def _pieces(bucket: np.ndarray) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of the runs of an ordered array."""
-    if not len(bucket):
-        return []
-    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True)]
+    def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(identifiers in order, least owner here, start of each string, its place among them) of all 50-byte strings."""
+        size = self.high - self.low + 1
+        start = np.repeat(self.low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        owner = np.repeat(self.id[self.row], size)
+        start, at = np.unique(start, return_index=True)
+        owner = owner[at]
+        value, first, where = np.unique(textkit.spans_hashed(self.data, start, start + DEPTH), return_index=True, return_inverse=True)
+        return value, owner[first], start, where
 
 
 def shared_keys(keys: list[np.ndarray], shared: list[np.ndarray]) -> list[np.ndarray]:
@@ -138,18 +143,57 @@ def shared_keys(keys: list[np.ndarray], shared: list[np.ndarray]) -> list[np.nda
     return np.split(out, np.cumsum([len(k) for k in keys])[:-1])
 
 
+def _later(flags: np.ndarray, owner: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which rows have a key that a smaller owner has."""
+    order = np.lexsort((owner, key))
+    start = np.append(True, key[order[1:]] != key[order[:-1]])
+    least = owner[order][start][np.cumsum(start) - 1]
+    flags[order[owner[order] > least]] = True
+    return flags
+
+
+def _refined(value: np.ndarray, around: np.ndarray, bits: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """``refine`` for some whole buckets of q-grams."""
+    out = np.zeros(len(value), np.uint32)
+    who, distance = np.nonzero((bits[:, None] >> np.arange(OFFSETS, dtype=np.uint32)) & 1 == 1)
+    bucket = textkit.mix(value[who] + distance.astype(np.uint64))
+    ident = textkit.mix(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(around, 8, axis=1)).view(np.uint64)[..., 0])
+    have = np.arange(len(value))
+    for later in (8, 16, 18, 0):
+        place = np.searchsorted(have, who)
+        with np.errstate(over="ignore"):
+            bucket = textkit.mix(bucket * _U(0x2545F4914F6CDD1D) + ident[place, OFFSETS - 1 - distance])
+        order = np.argsort(bucket, kind="stable")
+        same = bucket[order[1:]] == bucket[order[:-1]]
+        many = np.zeros(len(bucket), bool)
+        many[order[1:][same]] = True
+        many[order[:-1][same]] = True
+        who, distance, bucket = who[many], distance[many], bucket[many]
+        if not len(who):
+            return out
+        if later:
+            own = np.unique(who)
+            ident, have = ident[np.searchsorted(have, own)], own
+            with np.errstate(over="ignore"):
+                ident = textkit.mix(ident[:, : ident.shape[1] - later] * _U(0x2545F4914F6CDD1D) + ident[:, later:])
+    hit = _later(np.zeros(len(who), bool), owner[who], bucket)
+    np.bitwise_or.at(out, who[hit], np.uint32(1) << distance[hit].astype(np.uint32))
+    return out
+
+
 def refine(value: np.ndarray, around: np.ndarray, bits: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each context a bit for each distance whose string an owner with a smaller id has too.
 
-    Contexts start in buckets by q-gram. Buckets of one are done. The others are refined: the identifier of the
-    first 16 bytes at an offset is made of those of 8 bytes at the offset and 8 later, that of 32 bytes of those
-    of 16 bytes, and that of 50 bytes of those of 32 bytes at the offset and 18 later; each round reuses the
-    identifiers of the round before. A sort by the last tells equal strings.
+    The strings of the contexts start in buckets by q-gram and distance. Each round refines the buckets by sorting on
+    the identifier of the bytes at the string's start, and drops strings that are alone in their bucket. An identifier
+    is of 8 bytes at first; that of 16 bytes is made of those at an offset and 8 later, that of 32 bytes of those of 16
+    bytes, and that of 50 bytes of those of 32 bytes at the offset and 18 later: each round reuses the identifiers of
+    the round before, for the contexts that are left.
     """
     out = np.zeros(len(value), np.uint32)
-    order = np.lexsort((owner, value))
-    many = np.zeros(len(value), bool)
+    order = np.argsort(value, kind="stable")
     same = value[order[1:]] == value[order[:-1]]
+    many = np.zeros(len(value), bool)
     many[order[1:][same]] = True
     many[order[:-1][same]] = True
     order = order[many[order]]
@@ -160,21 +204,7 @@ def refine(value: np.ndarray, around: np.ndarray, bits: np.ndarray, owner: np.nd
         after = edges[np.searchsorted(edges, a + 16384) :]
         b = int(after[0]) if len(after) else len(order)
         part = order[a:b]
-        c = around[part]
-        ident = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(c, 8, axis=1)).view(np.uint64)[..., 0]
-        ident = textkit.mix(ident)
-        with np.errstate(over="ignore"):
-            for later in (8, 16, 18):
-                ident = textkit.mix(ident[:, : ident.shape[1] - later] * _U(0x2545F4914F6CDD1D) + ident[:, later:])
-        ident = ident[:, ::-1] + value[part][:, None]
-        valid = (bits[part][:, None] >> np.arange(OFFSETS, dtype=np.uint32)) & 1 == 1
-        who, distance = np.nonzero(valid)
-        key, doc = ident[who, distance], owner[part][who]
-        by = np.lexsort((doc, key))
-        start = np.append(True, key[by[1:]] != key[by[:-1]])
-        least = doc[by][start][np.cumsum(start) - 1]
-        hit = by[doc[by] > least]
-        np.bitwise_or.at(out, part[who[hit]], np.uint32(1) << distance[hit].astype(np.uint32))
+        out[part] = _refined(value[part], around[part], bits[part], owner[part])
         a = b
     return out
 
@@ -182,87 +212,137 @@ def refine(value: np.ndarray, around: np.ndarray, bits: np.ndarray, owner: np.nd
 SCHEMA = "doc_id long, text binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+FIRST = "block long, bucket int, keys binary, shared binary, size binary, n int"
+ALIVE = "block long, bucket int, on binary, hot binary, n int"
+SECOND = "block long, bucket int, value binary, around binary, bits binary, owner binary, id binary, id_owner binary"
+TOLD = "block long, bucket int, hit binary, later binary, n_later int"
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table({name: pa.array(v, kinds[kind]) for (name, kind), v in zip(fields, columns, strict=True)})
+
+
+def _flat(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
+
+
+def _bits(table: pa.Table, name: str, size: str) -> np.ndarray:
+    rows = zip(table.column(name).to_pylist(), table.column(size).to_pylist(), strict=True)
+    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(x, np.uint8), count=m).astype(bool) for x, m in rows)])
+
+
+def _cut(flat: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum(sizes)[:-1])
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """For each block's q-grams of one bucket: whether another row has it, and whether it is hot."""
+    sizes = table.column("n").to_pylist()
+    keys = _flat(table, "keys", np.uint32)
+    on = shared_keys(_cut(keys, sizes), _cut(_bits(table, "shared", "n"), sizes))
+    _, where = np.unique(keys, return_inverse=True)
+    hot = np.bincount(where, _flat(table, "size", np.uint16))[where] > HOT
+    packed = [[np.packbits(x).tobytes() for x in got] for got in (on, _cut(hot, sizes))]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "on": pa.array(packed[0], pa.binary()), "hot": pa.array(packed[1], pa.binary()), "n": table.column("n")})
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For each block's contexts of one bucket the distances with a smaller owner; the same for strings of hot q-grams."""
+    value, owner = _flat(table, "value", np.uint64), _flat(table, "owner", np.int64)
+    hit = refine(value, _flat(table, "around", np.uint8).reshape(-1, REACH), _flat(table, "bits", np.uint32), owner)
+    sizes, ids = [len(x) // 8 for x in table.column("value").to_pylist()], [len(x) // 8 for x in table.column("id").to_pylist()]
+    one, by = _flat(table, "id", np.uint64), _flat(table, "id_owner", np.int64)
+    later = _later(np.zeros(len(one), bool), by, one) if len(one) else np.zeros(0, bool)
+    return pa.table({
+        "block": table.column("block"),
+        "bucket": table.column("bucket"),
+        "hit": pa.array([x.tobytes() for x in _cut(hit, sizes)], pa.binary()),
+        "later": pa.array([np.packbits(x).tobytes() for x in _cut(later, ids)], pa.binary()),
+        "n_later": pa.array(ids, pa.int32()),
+    })
+
+
 def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     """(doc_id, text, n_bytes, n_removed, n_spans, kept_sha256): each row without the bytes that repeat.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id; strings are
     judged on the input and lie in one document. Null texts are empty; texts under 50 bytes stay whole; rows of
-    one doc_id are one document; a null doc_id is below all others. ``text`` holds the bytes that are left
-    (null unless ``texts``), as cuts may part characters.
-
-    Documents are dealt to blocks of some MB, in a table bucketed by block that all three passes read without
-    another shuffle. Pass 1 sends 4 bytes for each distinct q-gram of a block to the q-gram's bucket, which
-    answers whether another text has it. Pass 2 sends the distinct contexts of those suffixes to their buckets,
-    which refine them. Pass 3 cuts. What a bucket gets of a block is one row; a string that a third of all
-    documents hold is one key or context a block. Buckets grow in number, not in size. Equality is that of
-    64-bit identifiers.
+    one doc_id are one document; a null doc_id is below all others; an empty table gives no rows. ``text`` holds the
+    bytes that are left (null unless ``texts``), as cuts may part characters. Extra columns are ignored.
+
+    Blocks of some MB of the table's partitions are written bucketed by block, and all three passes read them without
+    a shuffle of texts. Pass 1 sends 4 bytes for each distinct q-gram of a block to the q-gram's bucket, which answers
+    whether another row has it, and whether it is hot: a common phrase with more than HOT suffixes in the corpus.
+    Pass 2 sends the distinct contexts of those suffixes to their buckets, which refine them; of hot q-grams it sends
+    the 50-byte strings, which are dealt by their own identifiers, so that no bucket holds all contexts of a phrase.
+    Pass 3 cuts. What a bucket gets of a block is one row; a string that a third of all documents hold is one key or
+    context a block. Buckets grow in number, not in size. Equality is that of 64-bit identifiers.
     """
     n = blocks_for(docs, BLOCK_BYTES)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    blocks = in_blocks(dealt, n, "suffix_blocks")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = in_blocks(own, BLOCK_BYTES, "suffix_blocks")
 
     def first(table: pa.Table) -> pa.Table:
-        block = Block(table)
-        value, shared, _ = block.buckets(n)
-        keys = ((value // _U(n)) & _U(0xFFFFFFFF)).astype(np.uint32)
-        got = [(b, keys[i:j].tobytes(), np.packbits(shared[i:j]).tobytes(), j - i) for b, i, j in _pieces(value % _U(n))]
-        return _rows(table, got, "bucket int, keys binary, shared binary, n int")
-
-    def count(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("block").to_pylist()
-        on = shared_keys([np.frombuffer(r["keys"], np.uint32) for r in rows], [np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=r["n"]).astype(bool) for r in rows])
-        return pa.table({"block": pa.array([r["block"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "on": pa.array([np.packbits(x).tobytes() for x in on], pa.binary()), "n": pa.array([r["n"] for r in rows], pa.int32())})
-
-    sent = blocks.groupBy("block").applyInArrow(first, "block int, bucket int, keys binary, shared binary, n int")
-    alive = written(sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, on binary, n int"), "suffix-alive")
-
-    def live(table: pa.Table, marks: pa.Table) -> Block:
-        block = Block(table)
-        _, _, where = block.buckets(n)
-        marks = marks.sort_by("bucket")
-        on = [np.unpackbits(np.frombuffer(o, np.uint8), count=m).astype(bool) for o, m in zip(marks.column("on").to_pylist(), marks.column("n").to_pylist(), strict=True)]
-        block.pick(np.concatenate(on)[where] if len(where) else np.zeros(0, bool))
-        return block
+        block, rows = table.column("block")[0].as_py(), []
+        value, shared, size, _ = Block(table).qgrams()
+        keys, size = (value & _U(0xFFFFFFFF)).astype(np.uint32), np.minimum(size, 65535).astype(np.uint16)
+        for b, i, j in runs(bucket_of(value, n)):
+            rows.append((block, b, keys[i:j].tobytes(), np.packbits(shared[i:j]).tobytes(), size[i:j].tobytes(), j - i))
+        return _table(rows, FIRST)
+
+    alive = written(blocks.groupBy("block").applyInArrow(first, FIRST).groupBy("bucket").applyInArrow(_count, ALIVE), "suffix-alive")
+
+    def live(table: pa.Table, marks: pa.Table) -> tuple[Block, Block]:
+        """The block with the suffixes that others share: those of hot q-grams, and the rest."""
+        block, marks = Block(table), marks.sort_by("bucket")
+        on, hot = _bits(marks, "on", "n"), _bits(marks, "hot", "n")
+        where = block.qgrams()[3]
+        return block.only((on & hot)[where]), block.only((on & ~hot)[where])
 
     def second(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _rows(table, [], "bucket int, value binary, around binary, bits binary, owner binary")
-        block = live(table, marks)
-        at, around, bits, _ = block.distinct(n)
+            return _table([], SECOND)
+        rows: dict[int, list[bytes]] = {}
+        hot, block = live(table, marks)
+        at, around, bits, _ = block.distinct()
         value, owner = block.value[at], block.id[block.row[at]]
-        got = [(b, value[i:j].tobytes(), around[i:j].tobytes(), bits[i:j].tobytes(), owner[i:j].tobytes()) for b, i, j in _pieces(value % _U(n))]
-        return _rows(table, got, "bucket int, value binary, around binary, bits binary, owner binary")
-
-    def answer(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        flat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        value = flat("value", np.uint64)
-        hit = refine(value, flat("around", np.uint8).reshape(-1, REACH), flat("bits", np.uint32), flat("owner", np.int64))
-        size = [len(x) // 8 for x in table.column("value").to_pylist()]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "on": pa.array([x.tobytes() for x in np.split(hit, np.cumsum(size)[:-1])], pa.binary()), "n": pa.array(size, pa.int32())})
-
-    asked = blocks.groupBy("block").cogroup(alive.groupBy("block")).applyInArrow(second, "block int, bucket int, value binary, around binary, bits binary, owner binary")
-    told = written(asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, on binary, n int"), "suffix-told")
-    both = alive.withColumn("final", F.lit(False)).unionByName(told.withColumn("final", F.lit(True)))
+        for b, i, j in runs(bucket_of(value, n)):
+            rows.setdefault(b, [b""] * 6)[:4] = [x[i:j].tobytes() for x in (value, around, bits, owner)]
+        one, by, _, _ = hot.strings()
+        for b, i, j in runs(bucket_of(one, n)):
+            rows.setdefault(b, [b""] * 6)[4:] = [one[i:j].tobytes(), by[i:j].tobytes()]
+        return _table([(table.column("block")[0].as_py(), b, *x) for b, x in rows.items()], SECOND)
+
+    asked = blocks.groupBy("block").cogroup(alive.groupBy("block")).applyInArrow(second, SECOND)
+    told = written(asked.groupBy("bucket").applyInArrow(_answer, TOLD), "suffix-told")
+    nothing = {"long": F.lit(None).cast("long"), "int": F.lit(None).cast("int"), "binary": F.lit(None).cast("binary")}
+    fields = {f.split()[0]: f.split()[1] for f in f"{ALIVE}, {TOLD}".split(", ")}
+    both = [part.select(*[part[c] if c in part.columns else nothing[kind].alias(c) for c, kind in fields.items()]) for part in (alive, told)]
 
     def third(table: pa.Table, marks: pa.Table) -> pa.Table:
-        final = marks.column("final").combine_chunks()
-        block = live(table, marks.filter(pa.compute.invert(final)))
-        hits = marks.filter(final).sort_by("bucket")
-        covered = np.zeros(len(block.data), bool)
+        final = marks.column("on").is_null().combine_chunks()
+        hot, block = live(table, marks.filter(pa.compute.invert(final)))
+        told = marks.filter(final).sort_by("bucket")
+        edge = np.zeros(len(block.data) + 1, np.int32)
         if len(block.at):
-            at, _, bits, where = block.distinct(n)
-            hit = np.concatenate([np.frombuffer(x, np.uint32) for x in hits.column("on").to_pylist()])
+            at, _, bits, where = block.distinct()
             later = block.id[block.row] > block.id[block.row[at]][where]
-            mine = np.where(later, bits[where], hit[where])
-            edge = np.zeros(len(block.data) + 1, np.int32)
+            mine = np.where(later, bits[where], _flat(told, "hit", np.uint32)[where])
             for distance in range(OFFSETS):
                 start = block.at[(mine >> np.uint32(distance)) & 1 == 1] - distance
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + DEPTH, -1)
-            covered = np.cumsum(edge)[:-1] > 0
+        if len(hot.at):
+            _, by, start, where = hot.strings()
+            later = hot.id[np.searchsorted(hot.bounds, start, "right") - 1] > by[where]
+            start = start[later | _bits(told, "later", "n_later")[where]]
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + DEPTH, -1)
+        covered = np.cumsum(edge)[:-1] > 0
         opens = covered.copy()
         opens[1:] &= ~covered[:-1]
         starts = block.bounds[:-1][block.bounds[:-1] < len(covered)]
@@ -278,15 +358,10 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
         })
 
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(third, SCHEMA)
-
-
-def _rows(table: pa.Table, rows: list[tuple], fields: str) -> pa.Table:
-    kinds = [(f.split()[0], pa.binary() if f.split()[1] == "binary" else pa.int32()) for f in fields.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    block = table.column("block")[0].as_py() if table.num_rows else 0
-    return pa.table({"block": pa.array([block] * len(rows), pa.int32())} | {c: pa.array(v, k) for (c, k), v in zip(kinds, columns, strict=True)})
+    marks = both[0].unionByName(both[1])
+    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(third, SCHEMA)
 
 
 def remove_repeats_digest(docs: DataFrame) -> DataFrame:
+    """``remove_repeats`` without the texts: nulls, short and empty texts, ties and repeated rows as there."""
     return remove_repeats(docs.select("doc_id", "text"), texts=False).drop("text")
