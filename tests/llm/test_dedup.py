@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+from tests.llm.conftest import prose
 from voxspark.llm import bagminhash, components, line_dedup, quality, sharding
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -91,6 +92,36 @@ def test_line_dedup(docs, texts):
     assert line_dedup.line_dedup_digest(docs.limit(0)).count() == 0
 
 
+def test_verdicts_of_compression_bands(spark, docs, texts):
+    """The method's verdict by its definition: the whole text and each chunk in the band of their length."""
+    import random
+
+    import zstandard
+
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 +/") for _ in range(n))
+    long = prose(rng, 3000)
+    more = [(1000, long), (1001, long[:8192] + noise(4090)), (1002, noise(9000)), (1003, long[:4096] + "ab " * 3000), (1004, long[:4095]), (1005, long[:4097]), (1006, prose(rng, 80) + " zz" * 60)]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: r for r in quality.quality_digest(every).collect()}
+
+    def inside(raw, limits):
+        low, high = limits
+        return low <= len(zstandard.ZstdCompressor(level=3).compress(raw)) / len(raw) <= high
+
+    def band(n):
+        return [b[1:] for b in quality.WHOLE_LIMITS if b[0] <= n][-1]
+
+    for i, t in [*texts, *more]:
+        raw, kept = (t or "").encode(), not got[i].base_failed
+        if kept:
+            chunks = [raw[j : j + 4096] for j in range(0, len(raw), 4096)]
+            bad = sum(len(c) for c in chunks if not inside(c, quality.CHUNK_LIMITS if len(c) == 4096 else band(len(c))))
+            kept = inside(raw, band(len(raw))) and (len(raw) < 4096 or bad <= 0.30 * len(raw))
+        assert got[i].kept == kept, (i, got[i])
+    assert got[1000].kept and not any(got[i].kept for i in (1001, 1002, 1003))
+
+
 def test_quality(docs, texts):
     got = {r.doc_id: r for r in quality.quality_digest(docs).collect()}
     assert len(got) == len(texts)

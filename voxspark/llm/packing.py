@@ -105,7 +105,7 @@ class Ids:
             return np.zeros(0, np.uint32), np.zeros(t.rows + 1, np.int64), row, np.zeros(0, np.uint64)
         end = np.minimum(np.append(start[1:], len(t.data)), t.bounds[row + 1])
         blank = t.data[start] == 32
-        term = textkit.span_hash(textkit.prefix_hash(t.data), start + blank, end)
+        term = textkit.spans_hashed(t.data, start + blank, end)
         if any(s in raw for s in self.special):
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True)]
             got = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
@@ -155,7 +155,7 @@ def _terms(t: textkit.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each piece without its blank, as ``Ids.of`` gives them."""
     start, row = _cuts(t)
     end = np.minimum(np.append(start[1:], len(t.data)), t.bounds[row + 1])[: len(start)]
-    return row, textkit.span_hash(textkit.prefix_hash(t.data), start + (t.data[start] == 32), end)
+    return row, textkit.spans_hashed(t.data, start + (t.data[start] == 32), end)
 
 
 def _counted(row: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -371,9 +371,15 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_bytes
     def run(table: pa.Table, terms: Terms) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         encoder, n, shard = _ids(tokenizer_path), table.num_rows, table.column("shard")[0].as_py()
-        (t,) = textkit.slices(table.column("text"), 1 << 62, 1 << 62)
-        ids, upto, row, term = encoder.of(t)
-        flat, first = np.insert(ids, upto[1:], 0).astype("<u4"), upto + np.arange(n + 1)
+        flat, size, row, term = [], [], [], []
+        for t in textkit.slices(table.column("text")):
+            ids, upto, rows, terms_of = encoder.of(t)
+            flat.append(np.insert(ids, upto[1:], 0).astype("<u4"))
+            size.append(np.diff(upto) + 1)
+            row.append(rows + t.first)
+            term.append(terms_of)
+        flat, row, term = (np.concatenate(x) for x in (flat, row, term))
+        first = np.concatenate([[0], np.cumsum(np.concatenate(size))])
         pieces = np.array(fill(np.diff(first), Index(row, term, n, terms), window))
         doc, start, length, sequence, offset, seed = pieces.T
         at = first[doc] + start

@@ -6,6 +6,7 @@ whole slice of rows at once; a slice holds a few MB of text, so memory doesn't f
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+        size = max(n, SLICE_BYTES + 1)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         with np.errstate(over="ignore"):
@@ -66,6 +67,27 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix(raw + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
+def spans_hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans in order, over SLICE_BYTES of the data at a time: prefix sums take eight bytes a byte."""
+    out, at = np.zeros(len(start), np.uint64), 0
+    while at < len(start):
+        low = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, low + SLICE_BYTES, "right")))
+        out[at:to] = span_hash(prefix_hash(data[low : int(end[to - 1])]), start[at:to] - low, end[at:to] - low)
+        at = to
+    return out
+
+
+_libc = ctypes.CDLL(None)
+
+
+def tidy() -> None:
+    """Gives the system back what freed arrays took: workers live on between tasks, and count with their executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 @dataclass
 class Texts:
     """A slice of rows: its bytes, each row's span, and where the rows stand in the whole column."""
@@ -110,6 +132,7 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES, rows: in
         to = min(to, n, at + rows)
         yield Texts(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], at)
         at = to
+    tidy()
 
 
 def words(texts: Texts, lower: bool = True, gap: np.ndarray = SPACE) -> Words:
@@ -126,7 +149,7 @@ def words(texts: Texts, lower: bool = True, gap: np.ndarray = SPACE) -> Words:
     after[:-1] = solid[1:]
     end = np.flatnonzero(solid & (~after | edge[1:])) + 1
     row = np.searchsorted(texts.bounds, start, "right") - 1
-    return Words(start, end, row, span_hash(prefix_hash(data), start, end), texts.rows)
+    return Words(start, end, row, spans_hashed(data, start, end), texts.rows)
 
 
 def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
