@@ -80,11 +80,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     band = textkit.mix(band * _U(31) + sign[:, j::ROWS])
                 band = textkit.mix(band + np.arange(BANDS, dtype=np.uint64))
                 ids = textkit.occurrences(row, element, count)
-                whole = np.zeros(rows, np.uint64)
+                whole, other = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
                 np.add.at(whole, ids[0], textkit.mix(ids[1]))
+                np.add.at(other, ids[0], textkit.mix(ids[1] ^ _U(0x9E3779B97F4A7C15)))
             size = np.bincount(row, weights=count, minlength=rows).astype(np.int64)
             bands = pa.ListArray.from_arrays(np.arange(0, rows * BANDS + 1, BANDS, dtype=np.int32), band.view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, rows), pa.array(whole.view(np.int64)), pa.array(size), bands], ["doc_id", "whole", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, rows), pa.array(whole.view(np.int64)), pa.array(other.view(np.int64)), pa.array(size), bands], ["doc_id", "whole", "other", "size", "bands"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,60 +127,62 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; shingles are five words, or all words of a shorter text;
     ``class_id`` is the least doc_id of the class. Null and empty texts and texts of blanks are alone, each in
-    its own class. Texts with equal shingles are copies and always of one class. Null ids aren't returned.
+    its own class. Texts with equal shingles (by 128-bit sums) are copies and always of one class. Null ids aren't returned.
 
     Copies are collapsed first, so a group of copies costs a row a copy. The texts that share a band with another
     give (text, leader) pairs for two leaders of each band: as many pairs as texts, whatever the group's size.
     Verified pairs are contracted to components; then each text that shares a band with a text of another
-    component is compared with it, unless bounds rule the similarity out: the part of its shingles that no other
-    text has, and 64 shingles of a common pivot. So no link between texts that share a band is lost, and a large
+    component is compared with it, unless bounds rule the similarity out: its size, the part of its shingles that no
+    other text has, and 64 shingles of a common pivot. Sizes out of reach are never paired. So no link between texts that share a band is lost, and a large
     group of near copies makes no quadratic number of pairs. A link at 0.8 exactly shares one of 20 bands of 4
     registers with probability 1 - 3e-5. Nothing is collected; every join is on hashed keys that adaptive
     execution can split.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    signed = written(docs.mapInArrow(_sign, "doc_id long, whole long, size long, bands array<long>"), "bmh-signed")
+    signed = written(docs.mapInArrow(_sign, "doc_id long, whole long, other long, size long, bands array<long>"), "bmh-signed")
     full = signed.filter(F.col("size") > 0)
-    reps = written(full.groupBy("whole", "size").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands")), "bmh-reps")
-    banded = reps.select("doc", "size", F.explode("bands").alias("band"))
-    buckets = written(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "bmh-buckets")
-    members = written(banded.join(buckets, "band").select("band", "doc"), "bmh-members")
-    candidates = sized(written(members.select(F.col("doc").alias("doc_id")).distinct(), "bmh-candidates"))
+    content = ["whole", "other", "size"]
+    reps = written(full.groupBy(*content).agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands")), "bmh-reps")
+    banded = reps.select("doc", F.explode("bands").alias("band"))
+    many = banded.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").select("band")
+    members = written(banded.join(many, "band"), "bmh-members", narrow=True)
+    candidates = sized(written(members.select(F.col("doc").alias("doc_id")).distinct(), "bmh-candidates", narrow=True))
     sets = written(docs.join(candidates, "doc_id", "left_semi").mapInArrow(_elements, "doc long, ids array<long>").dropDuplicates(["doc"]), "bmh-sets")
     alone = sets.select("doc", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1").groupBy("doc").agg(F.count("*").alias("alone"))
     size = F.size("ids").cast("long")
-    live = written(
-        sets.join(alone, "doc", "left").select("doc", size.alias("n"), (size - F.coalesce("alone", F.lit(0))).alias("s")).filter(F.col("s") >= LEAST * F.col("n")),
-        "bmh-live",
-    )
-    lively = written(members.join(live, "doc"), "bmh-lively")
+    live = sets.join(alone, "doc", "left").select("doc", size.alias("n"), (size - F.coalesce("alone", F.lit(0))).alias("s"))
+    live = written(live.filter(F.col("s") >= LEAST * F.col("n")), "bmh-live", narrow=True)
+    lively = written(members.join(live, "doc"), "bmh-lively", narrow=True)
     # One leader has the most that others share, as the source of a group of near copies does; the other is drawn.
     common = F.max(F.struct((F.col("s") / F.col("n")).alias("r"), F.col("doc").alias("d"))).alias("l1")
     drawn = F.min(F.struct(F.xxhash64("band", "doc").alias("h"), F.col("doc").alias("d"))).alias("l2")
-    leaders = written(lively.groupBy("band").agg(common, drawn, F.count("*").alias("m")).filter("m > 1").select("band", F.col("l1.d").alias("l1"), F.col("l2.d").alias("l2")), "bmh-leaders")
-    spoke = lively.join(leaders, "band").select("doc", F.explode(F.array("l1", "l2")).alias("leader")).filter("doc <> leader")
+    leaders = lively.groupBy("band").agg(common, drawn, F.count("*").alias("m")).filter("m > 1").select("band", F.array("l1.d", "l2.d").alias("leaders"))
+    leaders = written(leaders, "bmh-leaders", narrow=True)
+    spoke = lively.join(leaders, "band").select("doc", F.explode("leaders").alias("leader")).filter("doc <> leader")
     pairs = spoke.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-    edges = written(_verified(_allowed(pairs, live), sets), "bmh-edges")
+    edges = written(_verified(_allowed(pairs, live), sets), "bmh-edges", narrow=True)
     parts = components(edges)
-    placed = written(
-        lively.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("part", "doc")),
-        "bmh-placed",
-    )
+    placed = lively.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("part", "doc"))
+    placed = written(placed, "bmh-placed", narrow=True)
     best = F.max(F.struct((F.col("s") / F.col("n")).alias("r"), F.col("doc").alias("d"))).alias("best")
     counted = placed.groupBy("band", "part").agg(F.count("*").alias("m"), best)
     top = F.max(F.struct("m", "part", "best")).alias("top")
-    main = written(counted.groupBy("band").agg(F.count("*").alias("parts"), top).filter("parts > 1").select("band", F.col("top.part").alias("main"), F.col("top.best.d").alias("pivot")), "bmh-main")
-    split = written(placed.join(main, "band"), "bmh-split")
+    main = counted.groupBy("band").agg(F.count("*").alias("parts"), top).filter("parts > 1").select("band", F.col("top.part").alias("main"), F.col("top.best.d").alias("pivot"))
+    split = written(placed.join(written(main, "bmh-main", narrow=True), "band"), "bmh-split", narrow=True)
     split = split.join(_masks(split.select("pivot", "doc").distinct(), sets), ["pivot", "doc"])
     split = written(split.join(reps.select("doc", "bands"), "doc"), "bmh-masked")
     sides = ("doc", "n", "s", "part", "mask", "bands")
-    left = split.filter(F.col("part") != F.col("main")).select("band", *[F.col(c).alias(f"{c}_a") for c in sides])
-    right = split.select("band", "main", "pivot", *[F.col(c).alias(f"{c}_b") for c in sides])
-    left, right = written(left, "bmh-strays"), written(right, "bmh-others")
+    # Texts of n words, s of them shared, can be linked to texts of 0.8 n to (1 + 1 / 0.8) s - n words alone: a stray
+    # meets the sizes in its range, so near copies that differ too much in what they don't share are never paired.
+    step = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / float(np.log(1.05)))
+    low = step(LEAST * F.col("n") - 1e-6)
+    reach = F.sequence(low, F.greatest(low, step((1 + 1 / LEAST) * F.col("s") - F.col("n") + 1e-6)))
+    left = split.filter(F.col("part") != F.col("main")).select("band", F.explode(reach).alias("step"), *[F.col(c).alias(f"{c}_a") for c in sides])
+    right = split.select("band", step(F.col("n").cast("double")).alias("step"), "main", "pivot", *[F.col(c).alias(f"{c}_b") for c in sides])
     need = (F.col("n_a") + F.col("n_b")) * (LEAST / (1 + LEAST)) - 1e-6
     missed = [F.col(f"n_{x}") - F.col(f"s_{x}") + F.bit_count(F.col(f"mask_{x}").bitwiseAND(F.bitwise_not(F.col(f"mask_{y}")))) <= F.col(f"n_{x}") - need for x, y in ("ab", "ba")]
     cross = (
-        left.join(right, "band")
+        left.join(right, ["band", "step"])
         .filter((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("doc_a") < F.col("doc_b"))))
         .filter(_can_link(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b")))
         .filter((F.col("doc_a") == F.col("pivot")) | (F.col("doc_b") == F.col("pivot")) | (missed[0] & missed[1]))
@@ -188,12 +191,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
         .distinct()
     )
-    parts = components(edges.unionByName(written(_verified(cross, sets), "bmh-cross")))
-    named = reps.select("whole", "size", "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("whole", "size", F.coalesce("part", "doc").alias("class_id"))
-    return written(
-        full.select("doc_id", "whole", "size").join(named, ["whole", "size"]).select("doc_id", "class_id").unionByName(signed.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"))),
-        "bmh-classes",
-    )
+    parts = components(written(edges.unionByName(_verified(cross, sets)), "bmh-linked", narrow=True))
+    named = reps.select(*content, "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select(*content, F.coalesce("part", "doc").alias("class_id"))
+    classes = full.select("doc_id", *content).join(named, content).select("doc_id", "class_id")
+    return written(classes.unionByName(signed.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"))), "bmh-classes", narrow=True)
 
 
 def _allowed(pairs: DataFrame, live: DataFrame) -> DataFrame:
@@ -209,5 +210,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     first = F.max(F.col("doc_id") == F.col("class_id")).alias("first")
     others = near_duplicates(docs).groupBy("doc_id").agg(first).filter(~F.col("first"))
-    others = sized(written(others.select(F.col("doc_id").alias("__nd_id")), "bmh-others-of-classes"))
+    others = sized(written(others.select(F.col("doc_id").alias("__nd_id")), "bmh-others-of-classes", narrow=True))
     return docs.withColumn("__nd_id", F.col("doc_id").cast("long")).join(others, "__nd_id", "left_anti").drop("__nd_id")
