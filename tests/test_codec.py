@@ -29,6 +29,92 @@ def test_levels_round_trip(levels):
     assert (decode_levels(encode_levels(levels, bands), bands) == levels).all()
 
 
+def plain_coder(levels, bands):
+    """The public range coder written out bit by bit, with the byte that a carry may change and its 255s kept apart."""
+    low, width, cache, held, out = 0, 0xFFFFFFFF, 0, 1, []
+
+    def shift():
+        nonlocal low, cache, held
+        if low < 0xFF000000 or low >= 1 << 32:
+            out.extend([(cache + (low >> 32)) % 256] + [(255 + (low >> 32)) % 256] * (held - 1))
+            cache, held = low >> 24 & 255, 0
+        held += 1
+        low = low << 8 & 0xFFFFFFFF
+
+    def put(bit, model=None, i=0):
+        nonlocal low, width
+        part = width >> 1 if model is None else width * model[i] >> 12
+        if model is None:
+            low, width = low + bit * part, part
+        else:
+            low, width = (low + part, width - part) if bit else (low, part)
+            model[i] += -(model[i] >> 5) if bit else (4096 - model[i]) >> 5
+        while width < 1 << 24:
+            shift()
+            width = width << 8 & 0xFFFFFFFF
+
+    seen, more = [2048] * 8, [2048] * 12
+    end = max([0, *(i + 1 for i, v in enumerate(levels) if v)])
+    for k in reversed(range(len(levels).bit_length())):
+        put(end >> k & 1)
+    for v, b in zip(levels[:end], bands, strict=False):
+        put(int(v != 0), seen, b)
+        if v:
+            rest = abs(v) - 1
+            for k in range(12):
+                put(int(rest > k), more, k)
+                if rest <= k:
+                    break
+            else:
+                text = bin(rest - 11 + 1)[2:]
+                for c in "1" * (len(text) - 1) + "0" + text[1:]:
+                    put(int(c))
+            put(int(v < 0))
+    for _ in range(5):
+        shift()
+    return bytes(out)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.just(0), st.integers(-40, 40), st.sampled_from([32767, -32767, 12, 13, -13, 14])), min_size=1, max_size=200))
+def test_bytes_are_those_of_a_second_coder(levels):
+    bands = [i * 8 // len(levels) for i in range(len(levels))]
+    assert encode_levels(np.array(levels), np.array(bands)) == plain_coder(levels, bands)
+
+
+def test_bytes_worked_out_by_hand():
+    # The end of one level is 1 in one plain bit: the upper half of the range. 0 of 1 level: the lower half.
+    assert encode_levels(np.array([0]), np.array([0])) == bytes(5)
+    # low = 0x7FFFFFFF after the end; significance halves the range and adds 0x3FFFFFFF; a size of one and a sign of plus add nothing.
+    assert encode_levels(np.array([1]), np.array([0])) == bytes([0, 0xBF, 0xFF, 0xFF, 0xFE])
+
+
+def test_coded_atoms_hold_the_second_coder_s_bytes(spark):
+    v = sinusoid(32, 32, 64)
+    order, bands, _ = blocks.scan(32)
+    for r in atoms.encode(atoms.pack(frame(spark, v)), 8.0).collect():
+        vox = v[:, :, r.ax * 32 : r.ax * 32 + 32].astype(np.int64)
+        dc = int((vox.sum() + 16384) // 32768)
+        levels = blocks.quantize(blocks.forward((vox - dc)[None]), 8.0).ravel()[order]
+        assert r.dc == dc and bytes(r.payload) == plain_coder(levels.tolist(), bands.tolist())
+
+
+def test_odd_axes_count_their_last_voxel_twice(spark):
+    from voxspark.operators import pyramid
+
+    v = np.random.default_rng(4).integers(0, 256, (5, 6, 7))
+    twice = np.pad(v, ((0, 1), (0, 0), (0, 1)), mode="edge").reshape(3, 2, 3, 2, 4, 2).transpose(0, 2, 4, 1, 3, 5).reshape(3, 3, 4, 8)
+    dims = Dims(7, 6, 5)
+    got = {(r.z, r.y, r.x): r.v for r in pyramid.box(frame(spark, v), dims).collect()}
+    assert all(got[k] == int(twice[k].sum() / 8 + 0.5) for k in np.ndindex(3, 3, 4))
+    for alpha in (0.0, 0.25, 1.0):
+        got = {(r.z, r.y, r.x): r.v for r in pyramid.cbox(frame(spark, v), dims, alpha).collect()}
+        for k in np.ndindex(3, 3, 4):
+            mean = twice[k].mean()
+            far = twice[k][np.argmax(np.abs(twice[k] - mean))]
+            assert got[k] == int(np.clip(np.floor(mean + alpha * (far - mean) + 0.5), 0, 255))
+
+
 def test_cut_payloads_read_as_zeros():
     bands = np.zeros(100, np.int64)
     data = encode_levels(np.arange(100) - 50, bands)

@@ -28,12 +28,13 @@ def tree(tmp_path):
 def test_zarr(spark, tree):
     root, v = tree
     assert zarr.metadata(spark, root) == ([20, 24, 40], [10, 12, 10])
-    files = zarr.chunk_files(spark, root, content=False)
+    files = zarr.chunk_files(spark, root)
     assert files.count() == 14 and {(r.cz, r.cx) for r in files.collect() if r.cz == 0} == {(0, 1), (0, 2), (0, 3)}
     got = zarr.voxels(spark, str(root))
     assert metrics.differing(got, frame(spark, v).filter("v <> 0")).count() == 0
     chunks = {(r.cz, r.cy, r.cx): bytes(r.bytes) for r in zarr.chunk_bytes(got, [10, 12, 10]).collect()}
     assert chunks == {(r.cz, r.cy, r.cx): bytes(r.bytes) for r in zarr.read_chunks(spark, str(root)).collect()}
+    assert zarr.read_chunks(spark, str(root), occupied=spark.createDataFrame([(5, 5, 5)], "cz int, cy int, cx int")).count() == 0
     some = spark.createDataFrame([(0, 0, 1), (5, 5, 5)], "cz int, cy int, cx int")
     assert zarr.read_chunks(spark, str(root), occupied=some).count() == 1
 
@@ -96,6 +97,13 @@ def test_archive(spark, tmp_path):
         a.append_atoms(spark.createDataFrame([(9, 0, 0, bytearray(32768))], "az int, ay int, ax int, vox binary"))
     with pytest.raises(ValueError):
         archive.Archive(spark, root, "other")
+    with pytest.raises(ValueError, match="already"):
+        archive.Archive.create(spark, root, "one", dims, [1.0])
+    assert {r.kind: r.n for r in a.accounting().collect()} == {"payload": 7, "header": 7}
+    (check,) = a.verify(df, 1).collect()
+    assert (check.atoms, check.n) == (7, 7 * 32768) and check.psnr > 40
+    (some,) = a.verify(df, 3, most=2).collect()
+    assert some.atoms <= 2 and some.n == some.atoms * 32768
     with pytest.raises(ValueError):
         archive.Archive.create(spark, root, "two", dims, [1.0], target_ratio=0.5)
 

@@ -126,9 +126,9 @@ def rates(atoms: DataFrame, qs: list[float], n: int = ATOM) -> DataFrame:
     """(q, bytes, sse, n) summed over atoms, for each step: coded and rebuilt in one pass over each atom."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vox = np.stack([np.frombuffer(v, np.uint8) for v in b.column("vox").to_pylist()]).reshape(-1, n, n, n) if b.num_rows else np.zeros((0, n, n, n), np.uint8)
-            for q in qs if len(vox) else []:
+        for b in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
+            vox = np.stack([np.frombuffer(v, np.uint8) for v in b.column("vox").to_pylist()]).reshape(-1, n, n, n)
+            for q in qs:
                 dc, levels, payload = code(vox, q)
                 err = rebuild(levels, dc, q).astype(np.int64) - vox
                 yield pa.RecordBatch.from_arrays([pa.array([q]), pa.array([sum(map(len, payload)) + len(vox)]), pa.array([int((err**2).sum())]), pa.array([vox.size])], ["q", "bytes", "sse", "n"])
@@ -137,3 +137,9 @@ def rates(atoms: DataFrame, qs: list[float], n: int = ATOM) -> DataFrame:
     return parts.groupBy("q").agg(*[F.sum(c).alias(c) for c in ("bytes", "sse", "n")])
 
 
+def accounted(coded: DataFrame) -> DataFrame:
+    """(kind, n, bytes) of stored rows: payloads, masks where there are any, and a header's byte for each present atom."""
+    kinds = [F.struct(F.lit(k).alias("kind"), F.length(k).cast("long").alias("len")) for k in ("payload", "mask") if k in coded.columns]
+    header = F.struct(F.lit("header").alias("kind"), F.when(F.col("payload").isNotNull(), F.lit(1)).cast("long").alias("len"))
+    rows = coded.select(F.explode(F.array(*kinds, header)).alias("k")).select("k.*").filter("len IS NOT NULL")
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("len").alias("bytes"))

@@ -13,6 +13,8 @@ from voxspark.codec.rangecoder import HALF, Decoder, Encoder, decode_levels, enc
 from voxspark.model import BLOCK
 
 KEY = ["az", "ay", "ax"]
+#: Blocks that are worked on at a time.
+BATCH = 256
 
 
 def _contexts(air: np.ndarray) -> np.ndarray:
@@ -47,9 +49,7 @@ def encode(blocks: DataFrame, q: float, n: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, bands, _ = B.scan(n)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
             vox = np.stack([np.frombuffer(v, np.uint8) for v in b.column("vox").to_pylist()]).reshape(-1, n, n, n)
             filled, dc = B.fill_air(vox)
             levels = B.quantize(B.forward(filled - dc[:, None, None, None]), q)
@@ -64,7 +64,7 @@ def decode(coded: DataFrame, n: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, bands, _ = B.scan(n)
-        for b in batches:
+        for b in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
             out = []
             for mask, payload, dc, q in zip(*(b.column(c).to_pylist() for c in ("mask", "payload", "dc", "q")), strict=True):
                 levels = np.zeros(n**3, np.int64)

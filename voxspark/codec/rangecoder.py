@@ -12,27 +12,28 @@ SIGNIFICANT, UNARY = 8, 12
 
 
 class Encoder:
-    """Probabilities have 12 bits and move by 1/32; a carry is held back with the bytes that it may still change."""
+    """Probabilities have 12 bits and move by 1/32; a carry is held back with the bytes that it may still change.
+
+    The first byte out is the empty cache, as in the public scheme; a decoder reads five to begin with.
+    """
 
     def __init__(self) -> None:
         self.low, self.range, self.cache, self.held = 0, MASK, 0, 0
         self.out = bytearray()
-        self.started = False
 
     def _shift(self) -> None:
         if self.low < 0xFF000000 or self.low > MASK:
             carry = self.low >> 32
-            if self.started:
-                self.out.append((self.cache + carry) & 255)
+            self.out.append((self.cache + carry) & 255)
             self.out += bytes([(255 + carry) & 255]) * self.held
-            self.held, self.started = 0, True
+            self.held = 0
             self.cache = (self.low >> 24) & 255
         else:
             self.held += 1
         self.low = (self.low << 8) & MASK
 
     def bit(self, p: list[int], i: int, b: int) -> None:
-        bound = (self.range >> 12) * p[i]
+        bound = self.range * p[i] >> 12
         if b:
             self.low += bound
             self.range -= bound
@@ -64,8 +65,8 @@ class Decoder:
 
     def __init__(self, data: bytes) -> None:
         self.data, self.at, self.range, self.code = data, 0, MASK, 0
-        for _ in range(4):
-            self.code = self.code << 8 | self._next()
+        for _ in range(5):
+            self.code = (self.code << 8 | self._next()) & MASK
 
     def _next(self) -> int:
         self.at += 1
@@ -77,7 +78,7 @@ class Decoder:
             self.code = (self.code << 8 | self._next()) & MASK
 
     def bit(self, p: list[int], i: int) -> int:
-        bound = (self.range >> 12) * p[i]
+        bound = self.range * p[i] >> 12
         if self.code < bound:
             self.range, b = bound, 0
             p[i] += (4096 - p[i]) >> RATE
@@ -109,7 +110,8 @@ def end_bits(n: int) -> int:
 def encode_levels(levels: np.ndarray, bands: np.ndarray) -> bytes:
     """Levels in scan order: the end; then for each whether it is 0 by band, its size, its sign.
 
-    A size is unary in twelve contexts, and beyond them an exponential Golomb code of plain bits.
+    A size is unary in twelve contexts, the last of which says that more follows: an exponential Golomb code of plain
+    bits, of the rest and one.
     """
     e, p, u = Encoder(), [HALF] * SIGNIFICANT, [HALF] * UNARY
     some = np.flatnonzero(levels)
@@ -124,7 +126,7 @@ def encode_levels(levels: np.ndarray, bands: np.ndarray) -> bytes:
             if m < UNARY:
                 e.bit(u, m, 0)
             else:
-                rest = m - UNARY + 1
+                rest = m - UNARY + 2
                 n = rest.bit_length()
                 e.plain((1 << n) - 2, n)
                 e.plain(rest & ((1 << (n - 1)) - 1), n - 1)
@@ -146,6 +148,6 @@ def decode_levels(data: bytes, bands: np.ndarray) -> np.ndarray:
                 n = 1
                 while n < 32 and d.plain(1):
                     n += 1
-                m = UNARY - 1 + (1 << (n - 1) | d.plain(n - 1))
+                m = UNARY - 2 + (1 << (n - 1) | d.plain(n - 1))
             out[i] = -(m + 1) if d.plain(1) else m + 1
     return np.clip(out, -32767, 32767)

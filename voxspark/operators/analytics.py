@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxspark.functions.addressing import div, stats_band
+from voxspark.operators.transform import level_of, small_table, step_table, with_frequency
 
 CUBE = ["z", "y", "x"]
 
@@ -117,10 +118,67 @@ def corrections(pairs: DataFrame, cap: int) -> DataFrame:
     return pairs.filter(F.col("err") > cap).select("z", "y", "x", (F.col("a") - F.col("b")).alias("add"))
 
 
-def best_point(points: DataFrame, least_psnr: float) -> DataFrame:
-    """Of (q, ratio, psnr) the point with the largest ratio that is good enough."""
-    top = F.max_by(F.struct("q", "ratio", "psnr"), "ratio")
-    return points.filter(F.col("psnr") >= least_psnr).agg(top.alias("p")).select("p.*")
+def corrected(voxels: DataFrame, table: DataFrame) -> DataFrame:
+    """A decoded volume with the corrections of its outliers added."""
+    return voxels.join(table, ["z", "y", "x"], "left").select("z", "y", "x", (F.col("v") + F.coalesce("add", F.lit(0))).cast("int").alias("v"))
+
+
+def magnitudes(levels: DataFrame) -> DataFrame:
+    """Coefficients by band and size, sizes from 15 on together."""
+    return levels.groupBy(stats_band("f").alias("band"), F.least(F.abs("level"), F.lit(15)).cast("int").alias("magnitude")).agg(F.count("*").alias("n"))
+
+
+def band_entropy(histogram: DataFrame) -> DataFrame:
+    """Ideal bits by band of what isn't 0, and of the sizes and signs of those: a histogram of 128 rows at most."""
+    w = Window.partitionBy("band")
+    some = F.sum(F.when(F.col("magnitude") > 0, F.col("n")).otherwise(0)).over(w)
+    share = F.col("n") / F.col("nz")
+    rows = histogram.withColumns({"nz": some, "total": F.sum("n").over(w)})
+    sizes = F.sum(F.when(F.col("magnitude") > 0, -share * F.log2(share)).otherwise(0.0))
+    sums = rows.groupBy("band", "nz", "total").agg(sizes.alias("h"))
+    p = F.col("nz") / F.col("total")
+    bits = F.when((p == 0) | (p == 1), 0.0).otherwise(-(p * F.log2(p) + (1 - p) * F.log2(1 - p)) * F.col("total"))
+    return sums.select("band", F.round(bits, 6).alias("significance_bits"), F.round((F.col("h") + 1) * F.col("nz"), 6).alias("magnitude_bits"))
+
+
+def material_ratio(voxels: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Voxels that aren't 0, and how many of them a payload's byte (``len``) holds."""
+    total = payloads.agg(F.sum("len").alias("bytes"))
+    return voxels.agg(F.count_if(F.col("v") != 0).alias("material")).join(F.broadcast(total)).select("material", F.round(F.col("material") / F.col("bytes"), 6).alias("ratio"))
+
+
+def sizes(voxels: DataFrame, residual: DataFrame) -> DataFrame:
+    """Order-0 bytes of a level's own values and of its residual from the level above."""
+    values = voxels.select(F.lit("own").alias("kind"), F.col("v").alias("e")).unionByName(residual.select(F.lit("residual").alias("kind"), F.col("r").alias("e")))
+    # A histogram has 511 values at most, so its windows are small.
+    counts = values.groupBy("kind", "e").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("kind")))
+    p = F.col("c") / F.col("n")
+    return counts.groupBy("kind", "n").agg(F.round(F.sum(-p * F.log2(p)) * F.col("n") / 8, 4).alias("bytes"))
+
+
+def sweep(spark: SparkSession, coefficients: DataFrame, n: int, qs: list[float], keys: list[str]) -> DataFrame:
+    """(q, ratio, psnr) for each step: order-0 bits of each block, and the squared error of its coefficients.
+
+    The transform keeps lengths, so the error of coefficients is that of voxels but for rounding. Each coefficient
+    meets the steps of its own frequency, which are a table of fixed size.
+    """
+    steps = small_table(spark, [(float(q), f, s) for q in qs for f, s in step_table(n, q)], "q double, f int, sq long")
+    levels = with_frequency(coefficients).join(steps, "f").withColumn("level", level_of("v", "sq"))
+    size = F.floor((F.abs("level") + F.lit(0.2)) * F.col("sq") / F.lit(1048576.0) + F.lit(0.5))
+    error = F.col("v") - F.signum("level") * size
+    rows = levels.withColumn("error", error * error)
+    bits = bit_estimate(rows, [*keys, "q"])
+    sums = rows.groupBy("q").agg(F.count("*").alias("n"), F.sum("error").alias("sse"))
+    mse = F.col("sse") / F.col("n")
+    total = bits.groupBy("q").agg(F.sum("bits").alias("bits"))
+    return sums.join(total, "q").select("q", F.round(F.col("n") * 8 / F.col("bits"), 6).alias("ratio"), F.round(F.when(mse <= 0, 99.0).otherwise(10 * F.log10(65025.0 / mse)), 6).alias("psnr"))
+
+
+def best_points(points: DataFrame, targets: list[float]) -> DataFrame:
+    """For each target the point (q, ratio, psnr) with the largest ratio that is good enough; none if none is."""
+    wanted = points.withColumn("target", F.explode(F.array(*map(F.lit, targets)))).filter(F.col("psnr") >= F.col("target"))
+    top = F.max_by(F.struct("q", "ratio", "psnr"), F.struct("ratio", -F.col("q")))
+    return wanted.groupBy("target").agg(top.alias("p")).select("target", "p.*")
 
 
 def drop_high(coefficients: DataFrame, keep: int) -> DataFrame:

@@ -59,3 +59,19 @@ def differing(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows (z, y, x, a, b) in which two volumes differ; none if they are equal."""
     both = left.withColumnRenamed("v", "a").join(right.withColumnRenamed("v", "b"), ["z", "y", "x"], "full_outer")
     return both.filter(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def report(pairs: DataFrame) -> DataFrame:
+    """Errors over signal and over all voxels, before and after air is forced back to 0: four rows, one pass."""
+    variants = F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(m).alias("masked")) for s in ("signal", "all") for m in (False, True)])).alias("k")
+    rows = pairs.select("a", "b", variants).select("k.*", "a", F.when(F.col("k.masked") & (F.col("a") == 0), 0).otherwise(F.col("b")).alias("b"))
+    err = (F.col("a") - F.col("b")).cast("long")
+    sums = rows.filter("scope = 'all' OR a > 0").groupBy("scope", "masked").agg(F.count("*").alias("n"), F.sum(err * err).alias("sse"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_err"))
+    return sums.withColumn("psnr", F.round(psnr(F.col("sse") / F.col("n")), 6))
+
+
+def verified(atoms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of sampled atoms (az, ay, ax): how many there are, their voxels in both volumes, and the PSNR over these."""
+    on = [div(c, 32) == F.col(k) for c, k in zip("zyx", ("az", "ay", "ax"), strict=True)]
+    sums = pairs.join(atoms.select("az", "ay", "ax"), on).groupBy("az", "ay", "ax").agg(F.count("*").alias("n"), F.sum(F.col("err").cast("long") * F.col("err")).alias("sse"))
+    return sums.agg(F.count("*").alias("atoms"), F.sum("n").alias("n"), F.round(psnr(F.sum("sse") / F.sum("n")), 6).alias("psnr"))

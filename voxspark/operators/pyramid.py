@@ -69,3 +69,29 @@ def residual(fine: DataFrame, coarse: DataFrame) -> DataFrame:
     up = coarse.select(F.col("z").alias("cz"), F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("v").alias("p"))
     on = [div("z", 2) == F.col("cz"), div("y", 2) == F.col("cy"), div("x", 2) == F.col("cx")]
     return fine.join(up, on, "left").select("z", "y", "x", (F.col("v") - F.coalesce("p", F.lit(0))).alias("r"))
+
+
+def deblock(voxels: DataFrame, step: int, strength: float, limit: int) -> DataFrame:
+    """``voxels`` with the two on either side of each seam moved towards each other, along x, then y, then z.
+
+    Seams lie at multiples of ``step``. Pairs with air, or whose difference reaches ``limit``, stay: they are edges.
+    A voxel is in one pair at most along an axis, so a pair is a group of two rows.
+    """
+    if step < 2:
+        raise ValueError("a seam needs a voxel of its own on either side")
+    for c in ("x", "y", "z"):
+        place = F.col(c) % step
+        seam = F.when((place == 0) & (F.col(c) > 0), F.col(c)).when(place == step - 1, F.col(c) + 1)
+        at = voxels.withColumn("__seam", seam)
+        others = [k for k in ("z", "y", "x") if k != c]
+        low, high = F.max(F.when(F.col(c) < F.col("__seam"), F.col("v"))), F.max(F.when(F.col(c) == F.col("__seam"), F.col("v")))
+        pairs = at.filter("__seam IS NOT NULL").groupBy(*others, "__seam").agg(low.alias("a"), high.alias("b"))
+        d = F.col("b") - F.col("a")
+        move = F.when((F.col("a") != 0) & (F.col("b") != 0) & (F.abs(d) < limit), (F.lit(strength / 2) * d).cast("int")).otherwise(0)
+        clamp = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), e)).cast("int")
+        there = lambda side, e: F.when(F.col(side).isNotNull(), clamp(e)).alias("v")
+        move = F.coalesce(move, F.lit(0))
+        sides = F.array(F.struct((F.col("__seam") - 1).alias(c), there("a", F.col("a") + move)), F.struct(F.col("__seam").alias(c), there("b", F.col("b") - move)))
+        moved = pairs.select(*others, F.explode(sides).alias("s")).select(*others, "s.*").filter("v IS NOT NULL")
+        voxels = at.filter("__seam IS NULL").select("z", "y", "x", F.col("v").cast("int").alias("v")).unionByName(moved.select("z", "y", "x", "v"))
+    return voxels

@@ -42,12 +42,35 @@ def counts(covers: DataFrame) -> DataFrame:
     return covers.agg(F.count_if(F.col("cover") == PRESENT).alias("present"), F.count_if(F.col("cover") == KNOWN_ZERO).alias("zero"), F.count_if(F.col("cover") == 0).alias("absent"))
 
 
-def sampled(atoms: DataFrame, dims: tuple[int, int, int], stride: int) -> DataFrame:
-    """Every ``stride``-th atom of the grid in raster order, before cover is looked at: the place is arithmetic."""
+def sampled(atoms: DataFrame, dims: tuple[int, int, int], stride: int, most: int | None = None) -> DataFrame:
+    """Every ``stride``-th atom of the grid in raster order, before cover is looked at: the place is arithmetic.
+
+    With ``most`` the first present ones of these, so many at most.
+    """
     _, ny, nx = dims
-    return atoms.filter(((F.col("az").cast("long") * ny + F.col("ay")) * nx + F.col("ax")) % stride == 0)
+    kept = atoms.filter(((F.col("az").cast("long") * ny + F.col("ay")) * nx + F.col("ax")) % stride == 0)
+    return kept if most is None else kept.filter(F.col("cover") == PRESENT).orderBy("az", "ay", "ax").limit(most)
+
+
+def places(atoms: DataFrame) -> DataFrame:
+    """Each atom's ``place``, from 1, in the order of ``layout``: its row in the region after the rows of all before.
+
+    Regions, one row for 32768 atoms, are summed up by their own window; no window holds the atoms of the volume.
+    """
+    keyed = atoms.withColumns({"rz": region("az"), "ry": region("ay"), "rx": region("ax"), "slot": slot("az", "ay", "ax")})
+    order = [F.desc("lod"), *REGION]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    base = keyed.groupBy("lod", *REGION).agg(F.count("*").alias("w")).select("lod", *REGION, F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"))
+    row = F.row_number().over(Window.partitionBy("lod", *REGION).orderBy("slot"))
+    return keyed.withColumn("row", row).join(base, ["lod", *REGION]).withColumn("place", F.col("base") + F.col("row")).drop("row", "base")
 
 
+def located(wanted: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(az, ay, ax, len, offset) of wanted atoms: the region's blob, then the payload in it; absent ones are no rows."""
+    blobs = blob_offsets(regions_of(atoms)).select(*REGION, F.col("offset").alias("base"))
+    inside = payload_offsets(atoms).join(wanted.select("az", "ay", "ax"), ["az", "ay", "ax"], "left_semi")
+    keyed = inside.withColumns({"rz": region("az"), "ry": region("ay"), "rx": region("ax")})
+    return keyed.join(blobs, REGION).select("az", "ay", "ax", "len", (F.col("base") + F.col("at")).alias("offset"))
 
 
 def tree_nodes(chunks: DataFrame) -> DataFrame:
@@ -77,8 +100,12 @@ def payload_ratio(coded: DataFrame, voxels_per_atom: int = 32768) -> DataFrame:
 
 
 def throughput(rows: DataFrame, at: str, seconds: int) -> DataFrame:
-    """Rows in each interval, those so far, and the change from the interval before. One row an interval."""
+    """Rows in each interval, those so far, the change from the interval before, the average so far, and how many
+    intervals the rest takes at that rate. One row an interval, so a window holds them."""
     slot_ = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / seconds).cast("long").alias("slot")
     per = rows.groupBy(slot_).agg(F.count("*").alias("n"))
-    w = Window.orderBy("slot")
-    return per.select("slot", "n", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), (F.col("n") - F.lag("n").over(w)).alias("change"))
+    w, every = Window.orderBy("slot"), Window.partitionBy(F.lit(1))
+    upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    average = upto / (F.col("slot") - F.min("slot").over(every) + 1).cast("double")
+    rest = (F.sum("n").over(every) - upto) / average
+    return per.select("slot", "n", upto.alias("upto"), (F.col("n") - F.lag("n").over(w)).alias("change"), F.round(average, 6).alias("average"), F.round(rest, 6).alias("eta"))

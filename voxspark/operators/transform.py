@@ -66,11 +66,15 @@ def with_frequency(values: DataFrame) -> DataFrame:
     return values.withColumn("f", F.col("z") + F.col("y") + F.col("x"))
 
 
+def level_of(value: str, sq: str):
+    """The dead-zone level of a coefficient at a step scaled by 2^20, in integers."""
+    return F.expr(f"cast(CASE WHEN 10 * abs({value}) * 1048576 >= 8 * {sq} THEN least(32767, (abs({value}) * 10485760 - 8 * {sq}) div (10 * {sq}) + 1) * sign({value}) ELSE 0 END AS int)")
+
+
 def quantize(spark: SparkSession, values: DataFrame, n: int, q: float) -> DataFrame:
     """Dead-zone levels: 0 below 0.8 steps, else one more for each step from there on; integers throughout."""
     steps = small_table(spark, step_table(n, q), "f int, sq long")
-    level = F.expr("CASE WHEN 10 * abs(v) * 1048576 >= 8 * sq THEN least(32767, (abs(v) * 10485760 - 8 * sq) div (10 * sq) + 1) * sign(v) ELSE 0 END")
-    return with_frequency(values).join(steps, "f").withColumn("level", level.cast("int"))
+    return with_frequency(values).join(steps, "f").withColumn("level", level_of("v", "sq"))
 
 
 def dequantize(levels: DataFrame) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxspark.codec import atoms as codec
 from voxspark.codec import masked
 from voxspark.functions import addressing as A
-from voxspark.model import Box, Dims
+from voxspark.model import MOST_LODS, Box, Dims
 from voxspark.operators import analytics, coverage, metrics, occupancy, pyramid, repack, transform
 from voxspark.plans import export, fixtures
 from voxspark.plans.fixtures import sql
@@ -144,10 +144,13 @@ def occupied_chunks_semi(spark, d):
     return occupancy.only_occupied(rows, occupancy.occupied(fixtures.sparse(spark, d), 128)).select("l_orderkey", "l_linenumber")
 
 
-@query(sql("+ c AS (SELECT DISTINCT y // 96 cy, x // 96 cx FROM vs WHERE v <> 0 AND x % 5 = 0), g AS (SELECT a.i ry, b.i rx FROM range(0, 26) a(i), range(0, 32) b(i)) SELECT cast(0 AS int) rz, cast(ry AS int) ry, cast(rx AS int) rx FROM g WHERE NOT EXISTS (SELECT 1 FROM c WHERE cy * 96 < (ry + 1) * 64 AND cy * 96 + 96 > ry * 64 AND cx * 96 < (rx + 1) * 64 AND cx * 96 + 96 > rx * 64)", "vs"))
+@query(sql("+ c AS (SELECT DISTINCT y // 96 cy, x // 96 cx FROM vs WHERE v <> 0), m AS (SELECT max(y) // 64 my, max(x) // 64 mx FROM vs), g AS (SELECT a.i ry, b.i rx FROM range(0, (SELECT my + 1 FROM m)) a(i), range(0, (SELECT mx + 1 FROM m)) b(i)), t AS (SELECT DISTINCT r.i ry, q.i rx FROM c, range(0, (SELECT my + 2 FROM m)) r(i), range(0, (SELECT mx + 2 FROM m)) q(i) WHERE r.i BETWEEN cy * 96 // 64 AND (cy * 96 + 95) // 64 AND q.i BETWEEN cx * 96 // 64 AND (cx * 96 + 95) // 64) SELECT cast(0 AS int) rz, cast(ry AS int) ry, cast(rx AS int) rx FROM g WHERE (ry, rx) NOT IN (SELECT (ry, rx) FROM t)", "vs"))
 def zero_region_prepass(spark, d):
-    grid = spark.range(26 * 32).select(F.lit(0).alias("rz"), F.expr("cast(id div 32 AS int)").alias("ry"), F.expr("cast(id % 32 AS int)").alias("rx"))
-    return occupancy.definite_zero_regions(grid, occupancy.occupied(fixtures.sparse(spark, d).filter("x % 5 = 0"), 96), 96, 64)
+    v = fixtures.sparse(spark, d)
+    dims = _dims(v)
+    ny, nx = (dims.ny - 1) // 64 + 1, (dims.nx - 1) // 64 + 1
+    grid = spark.range(ny * nx).select(F.lit(0).alias("rz"), F.expr(f"cast(id div {nx} AS int)").alias("ry"), F.expr(f"cast(id % {nx} AS int)").alias("rx"))
+    return occupancy.definite_zero_regions(grid, occupancy.occupied(v, 96), 96, 64)
 
 
 # coverage
@@ -211,18 +214,20 @@ def box_read_absent_zero(spark, d):
 
 # pyramid
 
-_ODD = "+ o AS (SELECT * FROM vd WHERE z < 7 AND y < 63 AND x < 61), w AS (SELECT *, CASE WHEN z = 6 THEN 2 ELSE 1 END * CASE WHEN y = 62 THEN 2 ELSE 1 END * CASE WHEN x = 60 THEN 2 ELSE 1 END w FROM o) "
-_ODD_BOX, _ODD_DIMS = Box(0, 0, 0, 61, 63, 7), Dims(61, 63, 7)
+_TWICE = "CASE WHEN {c} = m{c} AND m{c} % 2 = 0 THEN 2 ELSE 1 END"
+_ODD = "+ m AS (SELECT max(z) mz, max(y) my, max(x) mx FROM vd), w AS (SELECT vd.*, " + " * ".join(_TWICE.format(c=c) for c in "zyx") + " w FROM vd, m) "
 
 
 @query(sql(_ODD + f"SELECT {_HALF}, cast(floor(sum(v * w) / 8.0 + 0.5) AS int) v FROM w GROUP BY ALL", "vd"))
 def downscale_box(spark, d):
-    return pyramid.box(coverage.crop(fixtures.dense(spark, d), _ODD_BOX), _ODD_DIMS)
+    v = fixtures.dense(spark, d)
+    return pyramid.box(v, _dims(v))
 
 
-@query(sql(_ODD + f", m AS (SELECT {_HALF}, sum(v * w) s FROM w GROUP BY ALL), b AS (SELECT m.z, m.y, m.x, m.s, w.v, row_number() OVER (PARTITION BY m.z, m.y, m.x ORDER BY abs(w.v - m.s / cast(8 AS double)) DESC, w.z, w.y, w.x) r FROM m JOIN w ON w.z // 2 = m.z AND w.y // 2 = m.y AND w.x // 2 = m.x) SELECT z, y, x, CASE WHEN s = 0 THEN 0 ELSE cast(least(255, greatest(0, floor(s / cast(8 AS double) + 0.5 * (v - s / cast(8 AS double)) + 0.5))) AS int) END v FROM b WHERE r = 1", "vd"))
+@query(sql(_ODD + f", h AS (SELECT {_HALF}, sum(v * w) s FROM w GROUP BY ALL), b AS (SELECT h.z, h.y, h.x, h.s, w.v, row_number() OVER (PARTITION BY h.z, h.y, h.x ORDER BY abs(w.v - h.s / cast(8 AS double)) DESC, w.z, w.y, w.x) r FROM h JOIN w ON w.z // 2 = h.z AND w.y // 2 = h.y AND w.x // 2 = h.x) SELECT z, y, x, CASE WHEN s = 0 THEN 0 ELSE cast(least(255, greatest(0, floor(s / cast(8 AS double) + 0.5 * (v - s / cast(8 AS double)) + 0.5))) AS int) END v FROM b WHERE r = 1", "vd"))
 def downscale_cbox(spark, d):
-    return pyramid.cbox(coverage.crop(fixtures.dense(spark, d), _ODD_BOX), _ODD_DIMS)
+    v = fixtures.dense(spark, d)
+    return pyramid.cbox(v, _dims(v))
 
 
 @query(sql(f"SELECT {_HALF}, cast((sum(v) + count(*) // 2) // count(*) AS int) v FROM vd GROUP BY ALL", "vd"))
@@ -236,13 +241,15 @@ def decimate_nonzero(spark, d):
 
 
 def _level_sql(n: int) -> str:
-    parts = [f"l{k} AS (SELECT {_HALF}, {_NZ} v FROM {'vd' if k == 1 else f'l{k - 1}'} GROUP BY ALL)" for k in range(1, n)]
+    size = "(SELECT greatest(max(z), max(y), max(x)) FROM vd)"
+    parts = [f"l{k} AS (SELECT {_HALF}, {_NZ} v FROM {'vd' if k == 1 else f'l{k - 1}'} WHERE {size} >= {1 << (k - 1)} GROUP BY ALL)" for k in range(1, n)]
     return "+ " + ", ".join(parts) + " SELECT z, y, x, v, 0 lod FROM vd" + "".join(f" UNION ALL SELECT z, y, x, v, {k} FROM l{k}" for k in range(1, n))
 
 
-@query(sql(_level_sql(7), "vd"))
+@query(sql(_level_sql(MOST_LODS), "vd"))
 def pyramid_all_lods(spark, d):
-    return pyramid.levels(fixtures.dense(spark, d), lambda v, _: pyramid.nonzero_mean(v), 7)
+    v = fixtures.dense(spark, d)
+    return pyramid.levels(v, lambda v, _: pyramid.nonzero_mean(v), _dims(v).n_lods)
 
 
 @query(sql(" UNION ALL ".join(f"(SELECT {_HALF}, {k} vote, {t} air FROM vd GROUP BY ALL)" for k, t in enumerate(("count(*) FILTER (WHERE v = 0) = count(*)", "count(*) FILTER (WHERE v = 0) * 2 > count(*)", "count(*) FILTER (WHERE v = 0) > 0"))), "vd"))
@@ -366,6 +373,22 @@ def coef_band_stats(spark, d):
     return analytics.band_stats(_levels(spark, d))
 
 
+@query(_chain("lv", ", s AS (SELECT least(7, f * 8 // 46) band, least(abs(level), 15) magnitude, count(*) n FROM lv GROUP BY ALL) SELECT cast(band AS int) band, cast(magnitude AS int) magnitude, n FROM s"))
+def coef_magnitudes(spark, d):
+    return analytics.magnitudes(_levels(spark, d))
+
+
+@query(_chain("lv", ", h AS (SELECT least(7, f * 8 // 46) band, least(abs(level), 15) a, count(*) c FROM lv GROUP BY ALL), s AS (SELECT band, sum(c) n, sum(CASE WHEN a > 0 THEN c ELSE 0 END) nz FROM h GROUP BY ALL), e AS (SELECT band, sum(CASE WHEN a > 0 THEN -(c / cast(nz AS double)) * log2(c / cast(nz AS double)) ELSE 0 END) he FROM h JOIN s USING (band) GROUP BY ALL) SELECT cast(band AS int) band, round(CASE WHEN nz = 0 OR nz = n THEN 0 ELSE -(nz / cast(n AS double) * log2(nz / cast(n AS double)) + (1 - nz / cast(n AS double)) * log2(1 - nz / cast(n AS double))) * n END, 6) significance_bits, round((he + 1) * nz, 6) magnitude_bits FROM s JOIN e USING (band)"))
+def coef_entropy(spark, d):
+    return analytics.band_entropy(analytics.magnitudes(_levels(spark, d)))
+
+
+@query(_chain("lv", ", s AS (SELECT block, count(*) n, count(*) FILTER (WHERE level <> 0) nz, cast(sum(CASE WHEN level <> 0 THEN 2 * floor(log2(cast(abs(level) AS double))) + 1 ELSE 0 END) AS double) m FROM lv GROUP BY ALL), p AS (SELECT *, nz / cast(n AS double) p FROM s), t AS (SELECT sum(round(CASE WHEN p = 0 OR p = 1 THEN 0 ELSE -(p * log2(p) + (1 - p) * log2(1 - p)) END * n + m + nz + log2(n + cast(1 AS double)), 6)) bits FROM p), w AS (SELECT count(*) FILTER (WHERE v <> 0) material FROM vb) SELECT material, round(material * 8 / bits, 6) ratio FROM w, t"))
+def material_ratio(spark, d):
+    bits = analytics.bit_estimate(_levels(spark, d), ["block"]).select((F.col("bits") / 8).alias("len"))
+    return analytics.material_ratio(fixtures.blocks(spark, d), bits)
+
+
 @query(_chain("cf", "SELECT z + y + x f, round(sqrt(cast(sum(v * v) AS double) / count(*)), 6) rms FROM cf GROUP BY ALL"))
 def dct_power_spectrum(spark, d):
     return analytics.power_spectrum(transform.with_frequency(_coefficients(spark, d)))
@@ -420,6 +443,43 @@ def parity_two_paths(spark, d):
     return metrics.differing(pyramid.nonzero_mean(v), pyramid.mean_round(v))
 
 
+@query(sql(_PAIRS + ", w AS (SELECT p.*, s.scope, m.masked, CASE WHEN m.masked AND a = 0 THEN 0 ELSE b END c FROM p, (VALUES ('signal'), ('all')) s(scope), (VALUES (false), (true)) m(masked) WHERE s.scope = 'all' OR a > 0), t AS (SELECT scope, masked, count(*) n, cast(sum((a - c) * (a - c)) AS bigint) sse, max(abs(a - c)) max_err FROM w GROUP BY ALL) SELECT *, round(CASE WHEN sse = 0 THEN 99.0 ELSE 10 * log10(65025.0 / (sse / cast(n AS double))) END, 6) psnr FROM t", "vr"))
+def volume_report(spark, d):
+    return metrics.report(_pairs(spark, d))
+
+
+@query(sql("+ p AS (SELECT z, y, x, vr.v + CASE WHEN abs(vd.v - vr.v) > 3 THEN vd.v - vr.v ELSE 0 END v FROM vd JOIN vr USING (z, y, x)) SELECT z, y, x, cast(v AS int) v FROM p", "vr"))
+def outlier_applied(spark, d):
+    v = fixtures.dense(spark, d)
+    rec = fixtures.reconstruction(v)
+    return analytics.corrected(rec, analytics.corrections(metrics.paired(v, rec), 3))
+
+
+def _deblock_sql(step: int, strength: float, limit: int) -> str:
+    parts, source = [], "vr"
+    for c in "xyz":
+        keys = ", ".join(k for k in "zyx" if k != c)
+        near = f"{{}}(v) OVER (PARTITION BY {keys} ORDER BY {c})"
+        move = f"cast(trunc(cast({strength / 2} AS double) * (%s)) AS int)"
+        first = f"{c} % {step} = 0 AND {c} > 0 AND v <> 0 AND p <> 0 AND abs(v - p) < {limit}"
+        last = f"{c} % {step} = {step - 1} AND n IS NOT NULL AND v <> 0 AND n <> 0 AND abs(n - v) < {limit}"
+        to = " ".join([f"CASE WHEN {first} THEN greatest(0, least(255, v - {move % 'v - p'}))", f"WHEN {last} THEN greatest(0, least(255, v + {move % 'n - v'})) ELSE v END"])
+        parts += [f"n{c} AS (SELECT *, {near.format('lag')} p, {near.format('lead')} n FROM {source})", f"d{c} AS (SELECT z, y, x, {to} v FROM n{c})"]
+        source = f"d{c}"
+    return "+ " + ", ".join(parts) + " SELECT z, y, x, cast(v AS int) v FROM dz"
+
+
+@query(sql(_deblock_sql(8, 0.5, 16), "vr"))
+def deblock_seams(spark, d):
+    return pyramid.deblock(fixtures.reconstruction(fixtures.dense(spark, d)), 8, 0.5, 16)
+
+
+@query(sql(f"+ c AS (SELECT {_HALF}, {_NZ} v FROM vd GROUP BY ALL), r AS (SELECT f.v, f.v - c.v r FROM vd f JOIN c ON f.z // 2 = c.z AND f.y // 2 = c.y AND f.x // 2 = c.x), k AS (SELECT 'own' kind, v, count(*) c FROM r GROUP BY ALL UNION ALL SELECT 'residual', r, count(*) FROM r GROUP BY ALL), t AS (SELECT kind, sum(c) n FROM k GROUP BY ALL) SELECT kind, cast(n AS bigint) n, round(sum(-(c / cast(n AS double)) * log2(c / cast(n AS double))) * n / 8, 4) bytes FROM k JOIN t USING (kind) GROUP BY kind, n", "vd"))
+def residual_sizing(spark, d):
+    v = fixtures.dense(spark, d)
+    return analytics.sizes(v, pyramid.residual(v, pyramid.nonzero_mean(v)))
+
+
 # layout
 
 _ATOMS = "+ t AS (SELECT z // 32 az, y // 32 ay, x // 32 ax, CASE WHEN max(v) > 100 THEN 2 ELSE 1 END cover, cast(sum(v) AS bigint) len FROM vs GROUP BY ALL) "
@@ -445,9 +505,26 @@ def payload_offsets(spark, d):
     return repack.payload_offsets(_atoms(spark, d))
 
 
-@query(sql(_ATOMS + "SELECT az, ay, ax, cover, len FROM t WHERE ((az * 64 + ay) * 64 + ax) % 7 = 0", "vs"))
+_PLACE = "((az * (SELECT max(ay) + 1 FROM t) + ay) * (SELECT max(ax) + 1 FROM t) + ax)"
+
+
+@query(sql(_ATOMS + f"SELECT az, ay, ax, cover, len FROM t WHERE {_PLACE} % 7 = 0", "vs"))
 def sampled_verify(spark, d):
-    return repack.sampled(_atoms(spark, d), (2, 64, 64), 7)
+    return repack.sampled(_atoms(spark, d), _dims(fixtures.sparse(spark, d)).atoms(), 7)
+
+
+@query(sql(_PAIRS + ", t AS (SELECT z // 32 az, y // 32 ay, x // 32 ax, sum((a - b) * (a - b)) sse, count(*) n, max(a) > 0 present FROM p GROUP BY ALL), k AS (SELECT * FROM t WHERE " + _PLACE + " % 3 = 0 AND present ORDER BY az, ay, ax LIMIT 5) SELECT count(*) atoms, cast(sum(n) AS bigint) n, round(CASE WHEN sum(sse) = 0 THEN 99.0 ELSE 10 * log10(65025.0 / (sum(sse) / cast(sum(n) AS double))) END, 6) psnr FROM k", "vr"))
+def verify_archive(spark, d):
+    v = fixtures.dense(spark, d)
+    dims = _dims(v).atoms()
+    covers = occupancy.atom_stats(v).select("az", "ay", "ax", F.when(F.col("all_zero"), 1).otherwise(2).alias("cover"))
+    return metrics.verified(repack.sampled(covers, dims, 3, most=5), metrics.paired(v, fixtures.reconstruction(v)))
+
+
+@query(sql(_ATOMS + ", s AS (SELECT az, ay, ax, ((az % 32) * 32 + ay % 32) * 32 + ax % 32 slot, len FROM t WHERE cover = 2), o AS (SELECT *, cast(coalesce(sum(len) OVER (PARTITION BY az // 32, ay // 32, ax // 32 ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS inside FROM s), b AS (SELECT az // 32 rz, ay // 32 ry, ax // 32 rx, sum(len) bytes FROM s GROUP BY ALL), f AS (SELECT *, cast(4096 + coalesce(sum(bytes) OVER (ORDER BY rz, ry, rx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) base FROM b) SELECT az, ay, ax, len, cast(base + inside AS bigint) AS \"offset\" FROM o JOIN f ON rz = az // 32 AND ry = ay // 32 AND rx = ax // 32 WHERE (az + ay + ax) % 2 = 0", "vs"))
+def atom_lookup(spark, d):
+    atoms = _atoms(spark, d)
+    return repack.located(atoms.filter("(az + ay + ax) % 2 = 0"), atoms)
 
 
 @query(sql("+ r AS (SELECT z // 64 cz, y // 64 cy, x // 64 cx, z // 4 band FROM vd) SELECT count(*) AS reads, cast((SELECT count(*) FROM (SELECT DISTINCT * FROM r)) AS bigint) AS once FROM r", "vd"))
@@ -464,9 +541,9 @@ def sparse_tree_ranks(spark, d):
     return repack.tree_nodes(occupancy.occupied(fixtures.sparse(spark, d), 16))
 
 
-@query(sql("+ c AS (SELECT DISTINCT y // 16 // 16 sy, x // 16 // 16 sx, z // 16 // 16 sz, ((z // 16) % 16 * 16 + (y // 16) % 16) * 16 + (x // 16) % 16 child FROM vs WHERE v <> 0) SELECT sz, sy, sx, child >> 6 AS word, count(*) n FROM c GROUP BY ALL", "vs"))
+@query(sql("+ c AS (SELECT DISTINCT y // 16 // 16 sy, x // 16 // 16 sx, z // 16 // 16 sz, ((z // 16) % 16 * 16 + (y // 16) % 16) * 16 + (x // 16) % 16 child FROM vs WHERE v <> 0) SELECT sz, sy, sx, child >> 6 AS word, count(*) n, cast(cast(sum(CASE WHEN child % 64 < 63 THEN cast(1 AS bigint) << (child % 64) ELSE 0 END) AS bigint) + min(CASE WHEN child % 64 = 63 THEN -9223372036854775808 ELSE 0 END) AS bigint) bits FROM c GROUP BY ALL", "vs"))
 def sparse_tree_bitmaps(spark, d):
-    return repack.node_bitmaps(repack.tree_nodes(occupancy.occupied(fixtures.sparse(spark, d), 16))).select("sz", "sy", "sx", "word", "n")
+    return repack.node_bitmaps(repack.tree_nodes(occupancy.occupied(fixtures.sparse(spark, d), 16))).select("sz", "sy", "sx", "word", "n", "bits")
 
 
 @query(sql(_ATOMS + "SELECT count(*) present, cast(sum(len) AS bigint) bytes, round(count(*) * 32768 / cast(sum(len) AS double), 6) ratio FROM t WHERE cover = 2", "vs"))
@@ -478,11 +555,10 @@ def payload_ratio(spark, d):
 def layout_order(spark, d):
     fine = _atoms(spark, d).withColumn("lod", F.lit(0))
     coarse = fine.select(A.div("az", 2).alias("az"), A.div("ay", 2).alias("ay"), A.div("ax", 2).alias("ax"), F.lit(2).alias("cover"), F.lit(1).cast("long").alias("len"), F.lit(1).alias("lod")).distinct()
-    laid = repack.layout(fine.unionByName(coarse))
-    return laid.select("lod", "az", "ay", "ax", F.row_number().over(Window.orderBy(F.desc("lod"), "rz", "ry", "rx", "slot")).alias("place"))
+    return repack.places(fine.unionByName(coarse)).select("lod", "az", "ay", "ax", "place")
 
 
-@query("WITH p AS (SELECT cast(floor(epoch(ts) / 3600) AS bigint) slot, count(*) n FROM events GROUP BY ALL) SELECT slot, n, cast(sum(n) OVER (ORDER BY slot) AS bigint) upto, n - lag(n) OVER (ORDER BY slot) AS change FROM p QUALIFY change IS NOT NULL")
+@query("WITH p AS (SELECT cast(floor(epoch(ts) / 3600) AS bigint) slot, count(*) n FROM events GROUP BY ALL) SELECT slot, n, cast(sum(n) OVER (ORDER BY slot) AS bigint) upto, n - lag(n) OVER (ORDER BY slot) AS change, round(sum(n) OVER (ORDER BY slot) / cast(slot - min(slot) OVER () + 1 AS double), 6) AS average, round((sum(n) OVER () - sum(n) OVER (ORDER BY slot)) / (sum(n) OVER (ORDER BY slot) / cast(slot - min(slot) OVER () + 1 AS double)), 6) AS eta FROM p QUALIFY change IS NOT NULL")
 def ingest_throughput(spark, d):
     return repack.throughput(fixtures.append_log(spark, d), "ts", 3600).filter("change IS NOT NULL")
 
@@ -540,12 +616,17 @@ def decode_region_coded(spark, d):
     return out.select("n", (F.col("n") == 7 * 45 * 57).alias("exact_size"), (F.col("psnr") > 27).alias("good"))
 
 
-@query()
+SWEEP = [round(0.10 * 1.15**k, 6) for k in range(37) if 0.10 * 1.15**k <= 16.0]
+_SWEEP = transform.values_sql([(q, f, s) for q in SWEEP for f, s in transform.step_table(16, q)], "q, f, sq")
+
+
+@query(_chain("cf", f""", st AS {_SWEEP}, lq AS (SELECT block, cast(st.q AS double) q, v, sq, {_LEVEL} AS level FROM cf JOIN st ON f = z + y + x),
+e AS (SELECT block, q, count(*) n, count(*) FILTER (WHERE level <> 0) nz, sum(CASE WHEN level <> 0 THEN 2 * floor(log2(cast(abs(level) AS double))) + 1 ELSE 0 END) m, cast(sum((v - sign(level) * floor((abs(level) + cast(0.2 AS double)) * sq / 1048576.0 + 0.5)) * (v - sign(level) * floor((abs(level) + cast(0.2 AS double)) * sq / 1048576.0 + 0.5))) AS double) sse FROM lq GROUP BY ALL),
+p AS (SELECT *, nz / cast(n AS double) p FROM e), b AS (SELECT q, n, sse, round(CASE WHEN p = 0 OR p = 1 THEN 0 ELSE -(p * log2(p) + (1 - p) * log2(1 - p)) END * n + m + nz + log2(n + cast(1 AS double)), 6) bits FROM p),
+c AS (SELECT q, round(sum(n) * 8 / sum(bits), 6) ratio, round(CASE WHEN sum(sse) = 0 THEN 99.0 ELSE 10 * log10(65025.0 / (sum(sse) / sum(n))) END, 6) psnr FROM b GROUP BY q)
+SELECT cast(t.t AS double) target, q, ratio, psnr FROM c, (VALUES (45), (40), (36)) t(t) WHERE psnr >= t.t QUALIFY row_number() OVER (PARTITION BY t.t ORDER BY ratio DESC, q) = 1"""))
 def rd_sweep_best(spark, d):
-    atoms = codec.pack(fixtures.dense(spark, d))
-    points = codec.rates(atoms, [0.5, 1.0, 2.0, 4.0, 8.0])
-    points = points.select("q", (F.col("n") / F.col("bytes")).alias("ratio"), metrics.psnr(F.col("sse") / F.col("n")).alias("psnr"))
-    return analytics.best_point(points, 36.0)
+    return analytics.best_points(analytics.sweep(spark, _coefficients(spark, d), 16, SWEEP, ["block"]), [45.0, 40.0, 36.0])
 
 
 @query(sql("SELECT block, count(*) FILTER (WHERE v = 0) air, 0 leaks, 0 losses FROM vb GROUP BY ALL", "vb"))

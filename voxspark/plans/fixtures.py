@@ -19,9 +19,12 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(block, z, y, x, v): complete blocks of 16^3."""
-    e = _table(spark, sf_dir, "embeddings").filter("vec_id < 256").select("vec_id", F.posexplode("embedding").alias("i", "e"))
-    return e.select(F.expr("cast(i div 16 AS int)").alias("block"), F.expr("cast(vec_id div 16 AS int)").alias("z"), F.expr("cast(vec_id % 16 AS int)").alias("y"), F.expr("cast(i % 16 AS int)").alias("x"), F.expr(_V).alias("v"))
+    """(block, z, y, x, v): blocks of 16^3, four for each 256 vectors; what the last vectors leave open is 0."""
+    table = _table(spark, sf_dir, "embeddings")
+    last = table.agg(F.max("vec_id")).first()[0]
+    ids = spark.range(0 if last is None else (last // 256 + 1) * 256).withColumnRenamed("id", "vec_id")
+    e = ids.join(table.select("vec_id", "embedding"), "vec_id", "left").select("vec_id", F.posexplode(F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), 64))).alias("i", "e"))
+    return e.select(F.expr("cast(vec_id div 256 * 4 + i div 16 AS int)").alias("block"), F.expr("cast(vec_id % 256 div 16 AS int)").alias("z"), F.expr("cast(vec_id % 16 AS int)").alias("y"), F.expr("cast(i % 16 AS int)").alias("x"), F.expr(_V).alias("v"))
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def log_of(e: DataFrame) -> DataFrame:
 #: Named subqueries of the SQL that checks the queries.
 SQL = {
     "vd": f"SELECT cast(vec_id // 64 AS int) z, cast(vec_id % 64 AS int) y, cast(i - 1 AS int) x, {_V.replace('(e', '(embedding[i]').replace('cast(e ', 'cast(embedding[i] ')} v FROM embeddings, unnest(generate_series(1, 64)) g(i)",
-    "vb": f"SELECT cast((i - 1) // 16 AS int) block, cast(vec_id // 16 AS int) z, cast(vec_id % 16 AS int) y, cast((i - 1) % 16 AS int) x, {_V.replace('(e', '(embedding[i]').replace('cast(e ', 'cast(embedding[i] ')} v FROM embeddings, unnest(generate_series(1, 64)) g(i) WHERE vec_id < 256",
+    "vb": f"SELECT cast(vec_id // 256 * 4 + (i - 1) // 16 AS int) block, cast(vec_id % 256 // 16 AS int) z, cast(vec_id % 16 AS int) y, cast((i - 1) % 16 AS int) x, {_V} v FROM (SELECT vec_id, i, coalesce(embedding[i], 0) e FROM range(0, (SELECT (max(vec_id) // 256 + 1) * 256 FROM embeddings)) r(vec_id) LEFT JOIN embeddings USING (vec_id), unnest(generate_series(1, 64)) g(i))",
     "vs": "SELECT cast(l_orderkey % 64 AS int) z, cast(l_suppkey * 16 AS int) y, cast(l_partkey AS int) x, max(cast(floor(l_quantity) AS int) * 5) v FROM lineitem WHERE ((l_partkey // 256) + (l_suppkey // 16)) % 3 = 0 GROUP BY ALL",
     "vr": "SELECT z, y, x, CASE WHEN v > 0 THEN greatest(0, least(255, v + ((z * 7 + y * 13 + x * 17) % 9) - 4)) ELSE 0 END v FROM vd",
     "ev": "SELECT event_id ingest_id, cast(((event_id * 7) % 16) * 4 AS int) az, cast(user_id % 32 AS int) ay, cast((cast(floor(value) AS bigint) % 16) * 8 AS int) ax, CASE WHEN event_type = 'error' THEN 'zero_atom' WHEN event_type = 'signup' THEN CASE WHEN event_id % 500 = 0 THEN 'zero_region' ELSE 'none' END ELSE 'atom' END kind FROM events",

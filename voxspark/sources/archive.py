@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxspark.codec import atoms as codec
-from voxspark.functions.addressing import region
-from voxspark.model import CODED_ATOMS, KNOWN_ZERO, PRESENT, VOLUME_META, ZERO_REGIONS, Box, Dims, checked_q
-from voxspark.operators import coverage
+from voxspark.functions.addressing import div, region
+from voxspark.model import ATOM, CODED_ATOMS, KNOWN_ZERO, PRESENT, VOLUME_META, ZERO_REGIONS, Box, Dims, checked_q
+from voxspark.operators import coverage, metrics, repack
 
 KEY = ["az", "ay", "ax"]
 
 
+def _touching(box: Box):
+    """Atoms that a box touches: ranges, which a scan can skip by."""
+    spans = zip(KEY, ((box.z0, box.z1), (box.y0, box.y1), (box.x0, box.x1)), strict=True)
+    return reduce(and_, (F.col(k).between(low // ATOM, (high - 1) // ATOM) for k, (low, high) in spans))
+
+
+def _atom_grid(spark: SparkSession, box: Box) -> DataFrame:
+    """(az, ay, ax) of all atoms that a box touches: a row for 32768 voxels."""
+    first = [getattr(box, f"{c}0") // ATOM for c in "zyx"]
+    n = [(getattr(box, f"{c}1") - 1) // ATOM + 1 - f for c, f in zip("zyx", first, strict=True)]
+    at = (f"id div {n[1] * n[2]} + {first[0]}", f"id div {n[2]} % {n[1]} + {first[1]}", f"id % {n[2]} + {first[2]}")
+    return spark.range(n[0] * n[1] * n[2]).select(*[F.expr(f"cast({e} AS int)").alias(k) for k, e in zip(KEY, at, strict=True)])
+
+
 class Archive:
     """Tables ``meta``, ``atoms`` (by volume and level) and ``zero`` under a root.
 
@@ -32,6 +50,14 @@ class Archive:
         """Sizes and ratio are checked; each level's step is held in its range."""
         if target_ratio < 1:
             raise ValueError("the target ratio is 1 or more")
+        try:
+            known = spark.read.schema(VOLUME_META).parquet(f"{root}/meta").filter(F.col("volume") == volume).isEmpty()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            known = True
+        if not known:
+            raise ValueError(f"{root} has a volume {volume!r} already")
         q = [checked_q(v) for v in base_q]
         row = (volume, dims.nx, dims.ny, dims.nz, dims.n_lods, float(target_ratio), q, "dct32", metadata)
         spark.createDataFrame([row], VOLUME_META).write.mode("append").parquet(f"{root}/meta")
@@ -59,12 +85,10 @@ class Archive:
     def append_box(self, voxels: DataFrame, box: Box, lod: int = 0, ingest_id: int = 0) -> None:
         """Voxels of a box of whole atoms; atoms of it that hold nothing are known to be zero."""
         box.within(Dims(*(32 * a for a in reversed(self.dims.lod(lod).atoms())))).aligned()
-        self.append_atoms(codec.pack(coverage.crop(voxels, box)), lod, ingest_id)
-        n = [(getattr(box, f"{c}1") - getattr(box, f"{c}0")) // 32 for c in "zyx"]
-        grid = self.spark.range(n[0] * n[1] * n[2]).select(
-            *[F.expr(f"cast({e} AS int)").alias(k) for k, e in zip(KEY, (f"id div {n[1] * n[2]} + {box.z0 // 32}", f"id div {n[2]} % {n[1]} + {box.y0 // 32}", f"id % {n[2]} + {box.x0 // 32}"), strict=True)]
-        )
-        self.mark_zero_atoms(grid, lod, ingest_id)
+        packed = codec.pack(coverage.crop(voxels, box))
+        self.append_atoms(packed, lod, ingest_id)
+        # Of the box's atoms only those without a voxel get a row: what is present needs no mark.
+        self.mark_zero_atoms(_atom_grid(self.spark, box).join(self.atoms(lod).filter(F.col("cover") == PRESENT), KEY, "left_anti"), lod, ingest_id)
 
     def mark_zero_atoms(self, atoms: DataFrame, lod: int = 0, ingest_id: int = 0) -> None:
         """Atoms (az, ay, ax): a present one stays present, as a reader takes the most that is known."""
@@ -79,7 +103,7 @@ class Archive:
     def _table(self, name: str, schema: str, lod: int) -> DataFrame:
         try:
             df = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except Exception as e:
+        except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             df = self.spark.createDataFrame([], schema)
@@ -100,15 +124,25 @@ class Archive:
     def read_box(self, box: Box, lod: int = 0) -> DataFrame:
         """(z, y, x, v) of any box within the level; what is absent reads as 0."""
         box.within(self.dims.lod(lod))
-        n = [getattr(box, f"{c}1") - getattr(box, f"{c}0") for c in "zyx"]
-        grid = self.spark.range(n[0] * n[1] * n[2]).select(
-            *[F.expr(f"cast({e} AS int)").alias(c) for c, e in zip("zyx", (f"id div {n[1] * n[2]} + {box.z0}", f"id div {n[2]} % {n[1]} + {box.y0}", f"id % {n[2]} + {box.x0}"), strict=True)]
-        )
-        return coverage.read_box(grid, codec.decode_box(self.atoms(lod).filter(F.col("cover") == PRESENT), box))
+        stored = self.atoms(lod).filter((F.col("cover") == PRESENT) & _touching(box))
+        atoms = _atom_grid(self.spark, box).join(stored.select(*KEY, "dc", "q", "payload"), KEY, "left")
+        return coverage.crop(codec.unpack(codec.decode(atoms)), box)
 
     def stats(self, lod: int = 0) -> DataFrame:
-        """Atoms by cover among those known, payload bytes, and the ratio over present atoms."""
+        """Atoms by cover among those known, payload bytes with one of a header each, and the ratio over present atoms."""
         bytes_ = F.sum(F.length("payload") + 1)
         return self.atoms(lod).agg(F.count_if(F.col("cover") == PRESENT).alias("present"), F.count_if(F.col("cover") == KNOWN_ZERO).alias("zero"), bytes_.alias("bytes"), F.round(F.count_if(F.col("cover") == PRESENT) * 32768 / bytes_, 4).alias("ratio"))
 
-
+    def accounting(self, lod: int = 0) -> DataFrame:
+        """(kind, n, bytes): where the bytes of a level are."""
+        return codec.accounted(self.atoms(lod).filter(F.col("cover") == PRESENT))
+
+    def verify(self, voxels: DataFrame, stride: int, most: int | None = None, lod: int = 0) -> DataFrame:
+        """(atoms, n, psnr) of every ``stride``-th atom of the grid that is present, ``most`` of them at most, against
+        the volume that it was made of."""
+        chosen = repack.sampled(self.atoms(lod), self.dims.lod(lod).atoms(), stride, most).filter(F.col("cover") == PRESENT).persist()
+        decoded = codec.unpack(codec.decode(chosen))
+        on = [div(c, ATOM) == F.col(k) for c, k in zip("zyx", KEY, strict=True)]
+        source = voxels.join(F.broadcast(chosen.select(*KEY)) if most and most <= 10_000 else chosen.select(*KEY), on, "left_semi")
+        both = decoded.withColumnRenamed("v", "b").join(source.withColumnRenamed("v", "a"), ["z", "y", "x"], "left").withColumn("a", F.coalesce("a", F.lit(0)))
+        return metrics.verified(chosen, both.withColumn("err", F.abs(F.col("a") - F.col("b"))))

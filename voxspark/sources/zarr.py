@@ -33,39 +33,46 @@ def metadata(spark: SparkSession, root: str, level: int = 0) -> tuple[list[int],
     return list(m["shape"]), list(m["chunks"])
 
 
-def chunk_files(spark: SparkSession, root: str, level: int = 0, content: bool = True) -> DataFrame:
-    """(cz, cy, cx, length[, content]) of the chunks there are. Without ``content`` files are listed, not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[0-9]*").load(f"{root}/{level}")
+def _files(spark: SparkSession, paths: str | list[str], *columns: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[0-9]*").load(paths)
     parts = F.split("path", "/")
     at = [F.element_at(parts, -k).cast("int").alias(c) for k, c in ((3, "cz"), (2, "cy"), (1, "cx"))]
-    return files.select(*at, "length", *(["content"] if content else []))
+    return files.select(*at, "length", *columns)
+
+
+def chunk_files(spark: SparkSession, root: str, level: int = 0) -> DataFrame:
+    """(cz, cy, cx, length) of the chunks there are. Files are listed, not read."""
+    return _files(spark, f"{root}/{level}")
 
 
 def read_chunks(spark: SparkSession, root: str, level: int = 0, short: str = "pad", occupied: DataFrame | None = None) -> DataFrame:
     """(cz, cy, cx, bytes): missing chunks are no rows; a short one is padded with zeros, or left out with ``skip``.
 
-    With ``occupied`` only those chunks are decoded further.
+    With ``occupied`` only those chunks are opened: files are listed, joined, and then read.
     """
     if short not in ("pad", "skip"):
         raise ValueError(f"short is pad or skip, not {short!r}")
     _, chunks = metadata(spark, root, level)
     size = chunks[0] * chunks[1] * chunks[2]
-    rows = chunk_files(spark, root, level)
+    paths: str | list[str] = f"{root}/{level}"
     if occupied is not None:
-        rows = rows.join(occupied, ["cz", "cy", "cx"], "left_semi")
+        # The names of files to read; Spark's own file index holds them on the driver as well.
+        wanted = _files(spark, paths, "path").join(occupied.select("cz", "cy", "cx").distinct(), ["cz", "cy", "cx"], "left_semi")
+        paths = [r["path"] for r in wanted.select("path").toLocalIterator()]
+    rows = _files(spark, paths, F.col("content").alias("bytes")) if paths else spark.createDataFrame([], "cz int, cy int, cx int, length long, bytes binary")
     if short == "skip":
         rows = rows.filter(F.col("length") >= size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            whole = [c[:size].ljust(size, b"\0") for c in b.column("content").to_pylist()]
+            whole = [c[:size].ljust(size, b"\0") for c in b.column("bytes").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("cz", "cy", "cx")), pa.array(whole, pa.binary())], ["cz", "cy", "cx", "bytes"])
 
     return rows.mapInArrow(run, "cz int, cy int, cx int, bytes binary")
 
 
-def voxels(spark: SparkSession, root: str, level: int = 0, short: str = "pad") -> DataFrame:
-    """(z, y, x, v) of what isn't 0, within the array's shape."""
+def voxels(spark: SparkSession, root: str, level: int = 0, short: str = "pad", occupied: DataFrame | None = None) -> DataFrame:
+    """(z, y, x, v) of what isn't 0, within the array's shape; of occupied chunks alone, where these are given."""
     shape, chunks = metadata(spark, root, level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +86,7 @@ def voxels(spark: SparkSession, root: str, level: int = 0, short: str = "pad") -
                 on = np.logical_and.reduce([a < s for a, s in zip(at, shape, strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array(a[on]) for a in (*at, v)], ["z", "y", "x", "v"])
 
-    return read_chunks(spark, root, level, short).mapInArrow(run, "z int, y int, x int, v int")
+    return read_chunks(spark, root, level, short, occupied).mapInArrow(run, "z int, y int, x int, v int")
 
 
 def chunk_bytes(voxel_table: DataFrame, chunks: list[int]) -> DataFrame:
@@ -98,19 +105,25 @@ def chunk_bytes(voxel_table: DataFrame, chunks: list[int]) -> DataFrame:
 def raw(spark: SparkSession, path: str, nx: int, ny: int, nz: int) -> DataFrame:
     """(z, y, x, v) of a headerless file of nx * ny * nz bytes, x fastest; any other length is refused.
 
-    One task reads the file, a slice at a time: large volumes belong in chunks.
+    Slices are records of a fixed length to Hadoop's input format: tasks seek to theirs, whatever the file's size.
     """
-    files = spark.read.format("binaryFile").load(path)
-    length = files.select("length").first()["length"]
+    length = spark.read.format("binaryFile").load(path).select("length").first()["length"]
     if length != nx * ny * nz:
         raise ValueError(f"{path} has {length} bytes, not {nx * ny * nz}")
+    records = spark.sparkContext.newAPIHadoopFile(
+        path,
+        "org.apache.spark.input.FixedLengthBinaryInputFormat",
+        "org.apache.hadoop.io.LongWritable",
+        "org.apache.hadoop.io.BytesWritable",
+        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(nx * ny)},
+    )
+    slices = spark.createDataFrame(records.map(lambda r: (int(r[0]), bytearray(r[1]))), "z int, bytes binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, x = (i.ravel().astype(np.int32) for i in np.indices((ny, nx)))
         for b in batches:
-            for content in b.column("content").to_pylist():
-                for z in range(nz):
-                    v = np.frombuffer(content, np.uint8, ny * nx, z * ny * nx).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(ny * nx, z, np.int32)), pa.array(y), pa.array(x), pa.array(v)], ["z", "y", "x", "v"])
+            for z, content in zip(b.column("z").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+                v = np.frombuffer(content, np.uint8).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(ny * nx, z, np.int32)), pa.array(y), pa.array(x), pa.array(v)], ["z", "y", "x", "v"])
 
-    return files.select("content").mapInArrow(run, "z int, y int, x int, v int")
+    return slices.mapInArrow(run, "z int, y int, x int, v int")
