@@ -37,6 +37,28 @@ def test_languages(spark):
     assert got[2003].lang_pred in SPEECH and got[None].lang_pred == "en"
 
 
+def test_held_out_accuracy(spark):
+    """On the given documents: held-out ones that have a label get it, but for a few."""
+    import os
+
+    import pytest
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in language_id.languages(docs).collect()}
+    both = [(got[r.doc_id].lang_pred, r.lang) for r in docs.select("doc_id", "lang").collect() if r.lang and got[r.doc_id].held_out and got[r.doc_id].lang_pred != "und"]
+    assert len(both) > 150 and sum(a == b for a, b in both) >= 0.98 * len(both)
+
+
+def test_many_languages_are_all_learnt(spark):
+    rng = random.Random(6)
+    names = [f"l{k:03d}" for k in range(300)]
+    rows = [(k * 4 + i, " ".join(rng.choice([f"w{k}a", f"w{k}b", "both"]) for _ in range(12)).replace("0", "zero").replace("1", "uno").replace("2", "deux").replace("3", "drei").replace("4", "quat").replace("5", "cinc").replace("6", "sei").replace("7", "sept").replace("8", "acht").replace("9", "neun"), name) for k, name in enumerate(names) for i in range(4)]
+    got = {r.doc_id: r.lang_pred for r in language_id.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.98 * len(rows) and len(set(got.values())) > 290
+
+
 def test_held_out_labels_are_not_learnt(spark):
     i = next(i for i in range(99) if held(i))
     rows = [(i, "aaa bbb", "xx"), (i + 1 if not held(i + 1) else i + 2, "aaa bbb", "yy")]

@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 
 from voxspark.llm import textkit
 
-#: The classifier is fitted on a sample of labelled documents: about SAMPLE of each language, by hash of the id,
-#: of the MOST_LANGUAGES languages with most documents. A word or n-gram is known if it is found LEAST times in the
-#: sample of a language and is at least one in KNOWN of the words or n-grams there.
+#: The classifier is fitted on a sample of labelled documents: about SAMPLE of each language, by hash of the id. A word
+#: or n-gram is known if it is found LEAST times in the sample of a language and is at least one in KNOWN of the words
+#: or n-grams there; so a language brings at most 6 KNOWN entries, whatever the corpus's size.
 SAMPLE = 2000
-MOST_LANGUAGES = 256
 LEAST = 2
 KNOWN = 1 << 16
 GRAMS = (5, 4, 3, 2, 1)
 FOLDS = 5
-MOST_CACHED = 400_000
+#: Bytes of words' vectors that a worker keeps from slice to slice.
+CACHE_BYTES = 64 << 20
 NONE = "und"
 
 #: ASCII characters that aren't letters stand between words, whatever else does.
@@ -143,8 +143,9 @@ class Model:
 
     def totals(self, t: textkit.Texts) -> np.ndarray:
         """Log likelihoods of a slice of texts by language, and in the last column whether a text has words."""
-        if len(self.rows) > MOST_CACHED:
+        if len(self.rows) * 8 * (len(self.languages) + 1) > CACHE_BYTES:
             self.rows.clear()
+            self.vectors = None
         w = textkit.words(t, gap=GAP)
         value, first, where = np.unique(w.hash, return_index=True, return_inverse=True)
         keys, known = value.tolist(), self.rows
@@ -163,7 +164,7 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """The classifier of ``docs`` (doc_id, text, lang), from its labelled training rows alone."""
     train = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out())
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     spark = docs.sparkSession
     shares = spark.createDataFrame([(r["lang"], min(1.0, SAMPLE / r["count"])) for r in sizes], "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
@@ -202,8 +203,10 @@ def languages(docs: DataFrame) -> DataFrame:
     Words are runs of letters, lower-cased. A text that is null or has no letter is ``und`` with score 0, as is
     any where nothing could be learnt; ties go to the language with more documents, then by name. The score is
     the language's share of the likelihood. Rows whose crc32 of the id as text is 0 modulo 5 (a null id counts as 0)
-    are never learnt from. Repeated rows are predicted each; nothing but the fitting sample is shuffled. The model
-    that is broadcast is bounded by the sample: at most KNOWN words and KNOWN n-grams of each length a language.
+    are never learnt from. Every language that has a training document is learnt. Repeated rows are predicted each; very
+    long texts are read whole, a slice by itself; an empty table gives no rows; extra columns are ignored. Nothing but
+    the fitting sample is shuffled. The model that is broadcast is bounded by the sample: at most KNOWN words and KNOWN
+    n-grams of each length a language, each with a number for each language.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(fit(own))
