@@ -148,12 +148,16 @@ def quality_columns(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
+    """``quality_columns`` with the id: null and empty texts fail the base rule, copies are measured alike."""
     return quality_columns(docs, ["doc_id"])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject, all columns as they were.
 
+    Null and empty texts and those of under 50 words are rejected, of any length else by their bands; copies share one
+    verdict, rows with a null id are judged like others, an empty table stays empty.
+
     The verdict is taken in one pass over whole rows, without a join.
     """
     names = docs.columns
