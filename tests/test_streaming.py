@@ -36,3 +36,32 @@ def test_error_counts(spark, tmp_path):
     appends.error_counts(stream, str(tmp_path / "out"), str(tmp_path / "c"))
     got = {r.err: r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("err").agg(F.sum("n").alias("n")).collect()}
     assert got == {e: len(range(e, 1000, 7)) for e in range(7)}
+
+
+def test_levels_of_a_stream_of_slabs(spark, tmp_path):
+    import os
+
+    import numpy as np
+
+    from tests.test_codec import frame
+    from voxspark.model import Dims
+    from voxspark.operators import metrics, pyramid
+    from voxspark.streaming import cascade
+
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 256, (11, 6, 5)) * (rng.random((11, 6, 5)) < 0.7)
+    v[4], v[10] = 0, 0
+    dims, whole = Dims(5, 6, 11), frame(spark, v).filter("v <> 0")
+    for k, (low, high) in enumerate([(0, 3), (3, 4), (4, 5), (5, 9), (9, 11)]):
+        part = whole.filter((F.col("z") >= low) & (F.col("z") < high)).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        for name in os.listdir(tmp_path / "in"):
+            if name.startswith("part-") and os.stat(tmp_path / "in" / name).st_mtime > 2_000:
+                os.utime(tmp_path / "in" / name, (1000 + k, 1000 + k))
+    stream = spark.readStream.schema("z int, y int, x int, v int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    cascade.cascade_stream(stream, str(tmp_path / "out"), str(tmp_path / "c"), dims)
+    got = cascade.levels(spark, str(tmp_path / "out"), dims)
+    want = pyramid.levels(whole, lambda x, _: pyramid.nonzero_mean(x), dims.n_lods)
+    for lod in range(dims.n_lods):
+        assert metrics.differing(got.filter(F.col("lod") == lod).drop("lod"), want.filter(F.col("lod") == lod).drop("lod")).count() == 0, lod
+    assert got.filter("lod > 0").count() > 40

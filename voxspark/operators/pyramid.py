@@ -37,6 +37,15 @@ def cbox(voxels: DataFrame, dims: Dims, alpha: float = 0.5) -> DataFrame:
     return children.withColumn("v", F.when(F.col("s") == 0, 0).otherwise(F.least(F.lit(255), F.greatest(F.lit(0), F.floor(mean + F.lit(alpha) * (far["v"] - mean) + 0.5)))).cast("int")).select("z", "y", "x", "v")
 
 
+def whole_cubes(voxels: DataFrame, dims: Dims) -> DataFrame:
+    """``voxels`` with the 0s that their cubes of two lack, as far as these lie in the volume."""
+    at = [F.explode(F.sequence(F.col(f"h{c}") * 2, F.least(F.col(f"h{c}") * 2 + 1, F.lit(d - 1)))).alias(c) for c, d in (("z", dims.nz), ("y", dims.ny), ("x", dims.nx))]
+    cubes = voxels.select(*[div(c, 2).alias(f"h{c}") for c in ("z", "y", "x")]).distinct()
+    for e in at:
+        cubes = cubes.select("*", e)
+    return cubes.select("z", "y", "x").join(voxels, ["z", "y", "x"], "left").select("z", "y", "x", F.coalesce("v", F.lit(0)).alias("v"))
+
+
 def mean_round(voxels: DataFrame) -> DataFrame:
     """Mean of the children there are, half up."""
     return voxels.groupBy(*halves()).agg(F.expr("cast((sum(v) + count(*) div 2) div count(*) AS int)").alias("v"))
