@@ -51,7 +51,7 @@ def test_levels_of_a_stream_of_slabs(spark, tmp_path):
     rng = np.random.default_rng(8)
     v = rng.integers(0, 256, (11, 6, 5)) * (rng.random((11, 6, 5)) < 0.7)
     v[4], v[10] = 0, 0
-    dims, whole = Dims(5, 6, 11), frame(spark, v).filter("v <> 0")
+    dims, whole = Dims(5, 6, 11), frame(spark, v).filter("v <> 0").selectExpr(*[f"cast({c} AS int) {c}" for c in "zyxv"])
     for k, (low, high) in enumerate([(0, 3), (3, 4), (4, 5), (5, 9), (9, 11)]):
         part = whole.filter((F.col("z") >= low) & (F.col("z") < high)).coalesce(1)
         part.write.mode("append").parquet(str(tmp_path / "in"))
