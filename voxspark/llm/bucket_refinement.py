@@ -72,7 +72,8 @@ class Block:
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(start)) - 1
             place = least[first]
-            value.append(textkit.spans_hashed(p.data, place, place + Q))
+            # Mixed once more: the least of 31 hashes is small, and its bucket would be one of the first.
+            value.append(textkit.mix(textkit.spans_hashed(p.data, place, place + Q)))
             at.append(place + s)
             low.append(start[first] + s)
             high.append(start[last] + s)
